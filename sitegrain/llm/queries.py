@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, sharding, tokens
+from . import decontamination, mixing, packing, quality, sharding, tokens, urls
 from .common import read
 
 
@@ -15,10 +15,14 @@ def _over(table: str, digest: Callable[[DataFrame], DataFrame]) -> Callable[[Spa
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": lambda spark, sf_dir: decontamination.digest(
+        read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
+    ),
     "op2_mix": _over("documents", mixing.digest),
     "op3_token_lengths": _over("documents", tokens.length_histogram),
     "op4_shards": _over("documents", sharding.digest),
     "op5_token_files": _over("documents", packing.digest),
+    "op7_url_filter": _over("pages", urls.digest),
     "op10_quality": _over("documents", quality.digest),
 }
 
