@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, packing, quality, sharding, tokens, urls
+from . import decontamination, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
 from .common import read
 
 
@@ -22,7 +22,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_lengths": _over("documents", tokens.length_histogram),
     "op4_shards": _over("documents", sharding.digest),
     "op5_token_files": _over("documents", packing.digest),
+    "op6_suffix_dedup": _over("documents", suffixes.digest),
     "op7_url_filter": _over("pages", urls.digest),
+    "op8_word_dedup": _over("documents", substrings.digest),
     "op10_quality": _over("documents", quality.digest),
 }
 
