@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
+from . import decontamination, jaccard, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
 from .common import read
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_suffix_dedup": _over("documents", suffixes.digest),
     "op7_url_filter": _over("pages", urls.digest),
     "op8_word_dedup": _over("documents", substrings.digest),
+    "op9_jaccard": _over("documents", jaccard.digest),
     "op10_quality": _over("documents", quality.digest),
 }
 
