@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -238,8 +239,6 @@ def enrich(pages: DataFrame, alternate: str = "auto") -> DataFrame:
 
 def html_column(function, *args) -> object:
     """A pure text function as an Arrow-batched column function."""
-    import pandas as pd
-
     def run(text: pd.Series) -> pd.Series:
         return text.map(lambda t: None if t is None else function(t, *args))
 
