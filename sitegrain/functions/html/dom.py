@@ -100,7 +100,7 @@ def parse(text: str) -> Node:
     """The document's ``html`` element, always with a ``body``."""
     root, head, body = Node("html"), None, None
     stack: list[Node] = [root]
-    at = 0
+    at = next((t.start for t in scanner.tags(text) if not t.closing and t.name in ("html", "head", "body")), 0)
 
     def put_text(chunk: str) -> None:
         nonlocal body
@@ -116,7 +116,7 @@ def parse(text: str) -> Node:
         # Comments and declarations between tags are no text.
         put_text(re.sub(r"(?s)<!--.*?(?:-->|\Z)|<![A-Za-z][^>]*>|<\?[^>]*>", "", text[lo:hi]))
 
-    for tag in scanner.tags(text):
+    for tag in scanner.tags(text, at):
         put_markup(at, tag.start)
         at = tag.outer
         name = tag.name
@@ -161,9 +161,6 @@ def parse(text: str) -> Node:
         stack[-1].add(node)
         if name in scanner.RAW:
             raw = text[tag.end : tag.inner]
-            if name in ("template", "noscript"):
-                for child in list(parse(raw).elements())[:0]:
-                    node.add(child)
             if raw:
                 node.add(scanner.unescape(raw) if name in ("title", "textarea") else raw)
         elif name not in VOID and not tag.rest.rstrip().endswith("/"):
@@ -231,8 +228,9 @@ def _compound(text: str) -> Callable[[Node], bool]:
 
 
 def _complex(text: str) -> Callable[[Node], bool]:
-    parts = re.findall(r"[>+~]|(?:\[[^\]]*\]|\([^)]*\)|[^\s>+~\[(])+", text.strip())
-    if not parts or parts[-1] in ">+~":
+    token = r"[>+~]|(?:\[[^\]]*\]|\([^)]*\)|[^\s>+~\[(])+"
+    parts = re.findall(token, text.strip())
+    if not parts or parts[-1] in ">+~" or re.sub(token, "", text).strip():
         raise ValueError(f"unsupported selector: {text!r}")
     chain: list[tuple[str, Callable[[Node], bool]]] = []
     link = " "
