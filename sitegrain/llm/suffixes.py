@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 
 from . import repeats
 from .common import staged
-from .kernels import _BYTE64, U64, mix, pieces, run_hash
-from .substrings import surviving
+from .kernels import _BYTE64, mix, pieces, run_hash
 
 UNIT = repeats.Unit("bytes", 400, 64)
 #: Bytes that are transformed at a time, if a group of contexts allows.
@@ -184,30 +183,75 @@ def _expand(rows: DataFrame, run: int) -> DataFrame:
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(scan, _SOLVED)
 
 
-def _hashed(rows: DataFrame, run: int) -> DataFrame:
-    """Resolve the contexts of very frequent anchors run by run, by 128-bit hashes.
+#: Runs to a cell, level by level, where frequent anchors are resolved.
+CELLS = (32, 4, 1)
+_CELL = "c1 long, c2 long, g1 long, g2 long, who long, k1 long, k2 long, lo int, first int, last int, asks boolean"
 
-    Such a group would not fit in one place; its runs are aggregated where they
-    are and met again in a join, so none is dropped.
+
+def _cells(rows: DataFrame, unit: repeats.Unit, step: int) -> DataFrame:
+    """Cells of ``step`` runs each: (h, k1, k2, lo, asks, body, ranges) to ``_CELL`` rows.
+
+    Cells are counted from the anchor, so equal runs are in equal cells.  ``c1``,
+    ``c2`` is the hash of the bytes that all runs of the cell share; ``g1``, ``g2``
+    that of the bytes that any of this row's runs in it has.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, lo = (batch.column(i).to_numpy() for i in (1, 2, 3))
-            asks = batch.column(4).to_pylist()
+            out: tuple[list, ...] = tuple([] for _ in range(11))
+            h, k1, k2, lo, asks = (batch.column(i).to_pylist() for i in range(5))
+            ranges = batch.column(6).to_pylist()
             for r, body in enumerate(batch.column(5)):
                 data = np.frombuffer(body.as_buffer(), np.uint8)
-                key, half = (mix(run_hash(_BYTE64[k][data], run)) for k in (0, 1))
-                at = np.arange(len(key), dtype=np.int64) + lo[r]
-                who = mix(np.full(len(at), k1[r]).view(U64) ^ mix(np.full(len(at), k2[r]).view(U64) + at.astype(U64)))
-                yield pa.record_batch(
-                    [pa.array(x) for x in (half.view(np.int64), key.view(np.int64), np.full(len(at), k1[r]), np.full(len(at), k2[r]), at.astype(np.int32), who.view(np.int64), np.full(len(at), asks[r]))],
-                    ["half", "key", "k1", "k2", "at", "who", "asks"],
-                )
+                near = mix(run_hash(_BYTE64[0][data], unit.anchor)[: unit.run - unit.anchor + 1]).view(np.int64)
+                anchor = int(np.flatnonzero(near == h[r])[-1])
+                for span in ranges[r]:
+                    first = span["first"]
+                    while first <= span["last"]:
+                        # Of all runs of a cell the last starts at a multiple of step before the anchor.
+                        last = anchor - (anchor - first) // step * step
+                        end = min(last, span["last"])
+                        core = data[last : last - step + 1 + unit.run].tobytes()
+                        hull = data[first : end + unit.run].tobytes()
+                        digests = [int.from_bytes(hashlib.blake2b(x, digest_size=16).digest(), "little") for x in (core, hull)]
+                        halves = [(d >> s & (2**64 - 1)) - (2**64 if d >> s & 2**63 else 0) for d in digests for s in (0, 64)]
+                        place = hashlib.blake2b(b"%d %d %d" % (k1[r], k2[r], lo[r] + first), digest_size=8).digest()
+                        who = int.from_bytes(place, "little", signed=True)
+                        for to, x in zip(out, (*halves, who, k1[r], k2[r], lo[r], first, end, asks[r]), strict=True):
+                            to.append(x)
+                        first = end + 1
+            kinds = [pa.int64()] * 7 + [pa.int32()] * 3 + [pa.bool_()]
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["c1", "c2", "g1", "g2", "who", "k1", "k2", "lo", "first", "last", "asks"])
+
+    return rows.select("h", "k1", "k2", "lo", "asks", "body", "ranges").mapInArrow(scan, _CELL)
 
-    runs = rows.mapInArrow(scan, "half long, key long, k1 long, k2 long, at int, who long, asks boolean")
-    found = surviving(runs, ["half", "key"]).filter("asks")
-    return found.select("k1", "k2", F.col("at").alias("lo"), (F.col("at") + run).alias("hi")).distinct()
+
+def _leveled(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
+    """Resolve the contexts of very frequent anchors, whose groups fit in no one place.
+
+    Runs are taken in cells.  A cell whose shared bytes occur once has no repeated
+    run; one whose bytes all occur again has only such; the few between are cut
+    into smaller cells, down to single runs.  Keys are aggregated where they are
+    and met in joins, so no group is gathered and no run is dropped.
+    """
+    length = F.octet_length("body") - unit.run
+    now = rows.withColumn("ranges", F.array(F.struct(F.lit(0).alias("first"), length.cast("int").alias("last"))))
+    done = None
+    for step in CELLS:
+        cells = staged(_cells(now, unit, step), "cells")
+        ends = F.min("who").alias("one"), F.max("who").alias("two")
+        cores = staged(cells.groupBy("c1", "c2").agg(*ends).filter("one != two").select("c1", "c2"), "cores")
+        hulls = staged(cells.groupBy("g1", "g2").agg(*ends).filter("one != two").select("g1", "g2", "one"), "hulls")
+        alive = staged(cells.join(cores, ["c1", "c2"]).join(hulls, ["g1", "g2"], "left").drop("c1", "c2", "g1", "g2"), "alive")
+        yes = alive.filter("one IS NOT NULL AND asks").select(
+            "k1", "k2", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + unit.run).alias("hi")
+        )
+        done = yes if done is None else done.unionByName(yes)
+        # A settled cell stays once, for others to be held against.
+        left = alive.filter("one IS NULL OR one = who").withColumn("asks", F.col("asks") & F.col("one").isNull())
+        ranges = left.groupBy("k1", "k2", "lo").agg(F.collect_set(F.struct("first", "last")).alias("ranges"), F.max("asks").alias("asks"))
+        now = rows.drop("asks").join(ranges, ["k1", "k2", "lo"])
+    return done.distinct()
 
 
 def resolve(source: DataFrame, text: str, unit: repeats.Unit) -> DataFrame:
@@ -216,7 +260,7 @@ def resolve(source: DataFrame, text: str, unit: repeats.Unit) -> DataFrame:
     many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("h")
     many = staged(many, "frequent")
     few = rows.join(many, "h", "left_anti").select(*rows.columns)
-    return _expand(few, unit.run).unionByName(_hashed(rows.join(many, "h", "left_semi").select(*rows.columns), unit.run))
+    return _expand(few, unit.run).unionByName(_leveled(rows.join(many, "h", "left_semi").select(*rows.columns), unit))
 
 
 def repeated_bytes(df: DataFrame, text: str = "text") -> DataFrame:
