@@ -181,6 +181,7 @@ def _components(rows, width, percent):
 @pytest.mark.parametrize("tile", [256, 2])
 def test_jaccard(docs, rows, nothing, tile, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "SCREENED", 16 if tile == 256 else 2)
     got = {i: (r.n_shingles, r.component_id) for i, r in by_id(jaccard.digest(docs)).items()}
     assert got == _components(rows, 3, 90)
     if tile == 2:
