@@ -34,6 +34,9 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitegrain/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    # Shuffle files of a finished job go when the driver's garbage is collected;
+    # a chain of jobs would otherwise hold those of all of them.
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,5 +56,24 @@ def word_count(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
+#: Values that ids are reduced to before they are looked for; bounds a broadcast.
+BUCKETS = 1 << 20
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among the ids: all that are, and some more.
+
+    Ids are reduced to one of ``BUCKETS`` hash values, so what is broadcast is at
+    most that many numbers, however many ids there are; a join on the ids has to
+    follow.  It keeps wide rows that nobody asks for from being moved.
+    """
+    mark = "_bucket"
+    while mark in df.columns:
+        mark += "_"
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    known = ids.select(bucket(id_column).alias(mark)).distinct()
+    return df.withColumn(mark, bucket(key)).join(F.broadcast(known), mark, "left_semi").drop(mark)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -10,9 +10,13 @@ touch every pair, so the product is cut into blocks:
    few to make up for empty parts), so linked sets agree in a whole part that is
    not empty.  Classes that agree in a part are candidates; their connected
    groups are the diagonal blocks, and no link leaves a block.
-3. A block is multiplied in pieces of ``TILE`` rows: overlap counts are
-   accumulated over shared shingles, tiles and pairs whose sizes alone rule out
-   ``t`` are skipped, and pairs over the bound are links.
+3. A block is multiplied in pieces of ``TILE`` rows.  Tiles and pairs whose sizes
+   alone rule out ``t`` are skipped.  Large blocks are screened first: the counts
+   of a set's shingles by the low bits of their hashes differ by no more than the
+   sets do, so pairs over the bound are discarded by 256 bytes a set, and what
+   still hangs together are smaller blocks.
+4. Then overlap counts are accumulated over shared shingles, and pairs over the
+   bound are links.
 
 Connected components of the links follow.  Everything is exact up to 64-bit
 hashes of shingles and 128-bit hashes of sets.
@@ -29,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import maybe_in, staged
 from .kernels import U64, mix, pieces, shingles, words
 
 #: Rows of a tile of the product.
 TILE = 256
+#: Rows from which a block is screened before its texts are multiplied.
+SCREENED = 16
 #: Sizes that share a number of parts grow by this factor.
 _GROWTH = 1.5
 
@@ -55,7 +61,10 @@ def parts_of(size: int, threshold: float) -> list[tuple[int, int, int]]:
             continue
         largest = math.ceil(_GROWTH ** (c + 1))
         differ = int(math.floor(2 * largest * (1 - threshold) / (1 + threshold) + 1e-9))
-        spare = 1 + differ // 200
+        # Empty parts to expect of the smallest set dealt under the class, with
+        # room for luck; the same for every set of it, or parts would not compare.
+        empty = (differ + 1) * math.exp(-max(threshold * _GROWTH**c, 1) / (differ + 1))
+        spare = 1 + math.ceil(empty + 3 * math.sqrt(empty))
         out.append((c, differ + 1 + spare, spare))
     return out
 
@@ -99,7 +108,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
                 yield piece.lo + k, mix(shingles(w.hashes[a:b], b - a, salt=b - a) + U64(b - a))
 
 
-_SETS = "rid long, n_shingles long, s1 long, s2 long, sigs array<long>"
+_SETS = "rid long, n_shingles long, s1 long, s2 long, bins binary, sigs array<long>"
 
 
 def _sets(df: DataFrame, text: str, rid: str, width: int, threshold: float) -> DataFrame:
@@ -108,12 +117,13 @@ def _sets(df: DataFrame, text: str, rid: str, width: int, threshold: float) -> D
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, sizes, one, two, sigs = [], [], [], [], []
+            rows, sizes, one, two, bins, sigs = [], [], [], [], [], []
             for row, own in shingle_sets(batch.column(1), width):
                 rows.append(row)
                 sizes.append(len(own))
                 one.append(int(np.add.reduce(mix(own)).view(np.int64)))
                 two.append(int(np.add.reduce(mix(own ^ U64(0xC0FFEE))).view(np.int64)))
+                bins.append(np.minimum(np.bincount((own & U64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
                 sigs.append(signatures(own, threshold).view(np.int64))
             counts = np.cumsum([0, *map(len, sigs)])
             flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
@@ -123,9 +133,10 @@ def _sets(df: DataFrame, text: str, rid: str, width: int, threshold: float) -> D
                     pa.array(sizes, pa.int64()),
                     pa.array(one, pa.int64()),
                     pa.array(two, pa.int64()),
+                    pa.array(bins, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat, pa.int64())),
                 ],
-                ["rid", "n_shingles", "s1", "s2", "sigs"],
+                ["rid", "n_shingles", "s1", "s2", "bins", "sigs"],
             )
 
     return df.select(F.col(rid).alias("rid"), F.col(text)).mapInArrow(scan, _SETS)
@@ -209,11 +220,24 @@ def forest(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _links(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """Links (a, b) that connect all linked rows of (node, block, n_shingles).
+def alike(left: np.ndarray, right: np.ndarray, sizes_l: np.ndarray, sizes_r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that counts by hash bin do not rule out."""
+    pairs_i, pairs_j = [], []
+    share = (1 - threshold) / (1 + threshold)
+    for i, own in enumerate(left):
+        apart = np.abs(right - own).sum(axis=1)
+        hits = np.flatnonzero(apart <= (sizes_l[i] + sizes_r) * share + 1e-6)
+        pairs_i.append(np.full(len(hits), i))
+        pairs_j.append(hits)
+    return np.concatenate(pairs_i), np.concatenate(pairs_j)
+
+
+def _tiled(blocks: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+    """Work groups of the product: (node, block, n_shingles) with ``facts`` by node.
 
     A block's rows are ordered by size and cut into tiles; a pair of tiles meets
-    only if its sizes allow a link, and each such pair is one task's work.
+    only if its sizes allow a link, and each such pair is one group.  Blocks of one
+    tile are packed, some hundred rows to a group.
     """
     from pyspark.sql import Window
 
@@ -228,6 +252,7 @@ def _links(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     )
     placed = staged(placed, "tiles")
     tiles = placed.groupBy("block", "tile").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    many = tiles.groupBy("block").agg((F.count(F.lit(1)) > 1).alias("many"))
     one, two = tiles.alias("one"), tiles.alias("two")
     meets = (
         one.join(two, "block")
@@ -237,22 +262,61 @@ def _links(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     work = meets.select("block", F.col("t1").alias("tile"), "t1", "t2", F.lit(0).alias("side")).unionByName(
         meets.filter("t1 != t2").select("block", F.col("t2").alias("tile"), "t1", "t2", F.lit(1).alias("side"))
     )
-    rows = placed.join(work, ["block", "tile"]).join(texts, "node").select("block", "t1", "t2", "side", "node", "text")
+    packs = 1 + placed.count() // TILE
+    pack = F.when(F.col("many"), F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(packs)))
+    return (
+        placed.join(work.join(many, "block"), ["block", "tile"])
+        .withColumn("pack", pack)
+        .join(facts, "node")
+        .select("many", "pack", "t1", "t2", "side", "block", "node", "n_shingles", *[c for c in facts.columns if c != "node"])
+    )
+
 
-    def multiply(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["side", "node"])
-        sets = dict(shingle_sets(pa.array(group["text"], pa.large_string()), width))
-        sides = [[], []]
-        for row, (side, node) in enumerate(zip(group["side"], group["node"], strict=True)):
-            sides[side].append((node, sets[row]))
-        left = [s for _, s in sides[0]]
-        right = [s for _, s in sides[1]] or None
-        names_l = np.array([n for n, _ in sides[0]], np.int64)
-        names_r = np.array([n for n, _ in sides[1]], np.int64) if right else names_l
-        i, j = product(left, right, threshold)
-        return pd.DataFrame(forest(names_l[i].tolist(), names_r[j].tolist()), columns=["a", "b"], dtype="int64")
+def _connected(rows: DataFrame, pairs) -> DataFrame:
+    """Links (a, b) that connect what ``pairs`` finds in each block of each group."""
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        # One row per node and side: a repeated row brings its node again.
+        rows = rows.drop_duplicates(["block", "side", "node"]).sort_values(["block", "side", "node"])
+        for i, j in pairs(rows):
+            found += forest(i, j)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("many", "pack", "t1", "t2").applyInPandas(group, "a long, b long")
+
+
+def _sides(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """Places of each block's rows, and of its other side if it has one."""
+    block, side = rows["block"].to_numpy(), rows["side"].to_numpy()
+    cuts = np.flatnonzero(np.append(True, block[1:] != block[:-1])).tolist() + [len(block)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        at = np.arange(a, b)
+        other = at[side[a:b] == 1]
+        yield at[side[a:b] == 0], other if len(other) else None
+
+
+def _screen(blocks: DataFrame, bins: DataFrame, threshold: float) -> DataFrame:
+    def pairs(rows: pd.DataFrame):
+        table = np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(-1, 256).astype(np.int16)
+        sizes, nodes = rows["n_shingles"].to_numpy(), rows["node"].to_numpy()
+        for one, two in _sides(rows):
+            two = one if two is None else two
+            i, j = alike(table[one], table[two], sizes[one], sizes[two], threshold)
+            yield nodes[one][i].tolist(), nodes[two][j].tolist()
+
+    return _connected(_tiled(blocks, bins, threshold), pairs)
+
+
+def _links(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    def pairs(rows: pd.DataFrame):
+        sets = dict(shingle_sets(pa.array(rows["text"], pa.large_string()), width))
+        nodes = rows["node"].to_numpy()
+        for one, two in _sides(rows):
+            i, j = product([sets[k] for k in one], None if two is None else [sets[k] for k in two], threshold)
+            yield nodes[one][i].tolist(), nodes[one if two is None else two][j].tolist()
 
-    return rows.groupBy("block", "t1", "t2").applyInPandas(multiply, "a long, b long")
+    return _connected(_tiled(blocks, texts, threshold), pairs)
 
 
 def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -267,16 +331,23 @@ def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int =
     smaller component.
     """
     sets = staged(_sets(df.filter(F.col(rid).isNotNull()), text, rid, width, threshold), "sets")
-    classes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"), F.first("sigs").alias("sigs"))
+    classes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"), F.first("sigs").alias("sigs"), F.first("bins").alias("bins"))
     classes = staged(classes, "classes")
     parts = classes.select("node", F.explode("sigs").alias("sig"))
     shared = parts.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
+    shared = staged(shared.select("sig", "least"), "shared")
     near = parts.join(shared, "sig").filter(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
     blocks = components(near.distinct())
-    members = classes.select("node", "n_shingles", "s1", "s2").join(blocks.withColumnRenamed("component", "block"), "node")
-    members = staged(members, "members")
-    texts = df.select(F.col(rid).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(members.select("node").distinct(), "node", "left_semi")
-    found = components(_links(members.select("node", "block", "n_shingles"), texts, width, threshold))
+    known = classes.select("node", "n_shingles")
+    members = staged(known.join(blocks.withColumnRenamed("component", "block"), "node"), "members")
+    counted = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    large = members.join(counted.filter(F.col("n") >= SCREENED).select("block"), "block", "left_semi")
+    small = members.join(counted.filter(F.col("n") < SCREENED).select("block"), "block", "left_semi")
+    smaller = components(_screen(large, classes.select("node", "bins"), threshold)).withColumnRenamed("component", "block")
+    members = staged(small.select("node", "n_shingles", "block").unionByName(known.join(smaller, "node").select("node", "n_shingles", "block")), "blocks")
+    texts = df.select(F.col(rid).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    texts = maybe_in(texts, "node", members, "node").join(members.select("node").distinct(), "node", "left_semi")
+    found = components(_links(members, texts, width, threshold))
     of = classes.select("s1", "s2", "n_shingles", "node").join(found, "node", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id")
     )
