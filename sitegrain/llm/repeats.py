@@ -168,11 +168,13 @@ def shared_anchors(df: DataFrame, text: str, unit: Unit) -> DataFrame:
         .filter("n > 1")
         .select("h", (F.col("least") == F.col("most")).alias("alike"))
     )
+    # Written first: a join of two plain shuffles can split a frequent anchor.
+    groups = staged(groups, "groups")
     shared = staged(rows.join(groups, "h"), "anchors")
     mixed = shared.filter("not alike").drop("alike")
     who = F.struct("k1", "k2", "lo", "hi")
     kinds = mixed.groupBy("h", "c").agg(F.min(who).alias("one"), F.max(who).alias("two"))
-    kinds = kinds.select("h", "c", (F.col("one") != F.col("two")).alias("full"), "one")
+    kinds = staged(kinds.select("h", "c", (F.col("one") != F.col("two")).alias("full"), "one"), "kinds")
     marked = mixed.join(kinds, ["h", "c"]).select(
         *mixed.columns, "full", (~F.col("full") | (F.col("one") == who)).alias("open")
     )
