@@ -7,7 +7,7 @@ that is too large for one, before anything is joined up.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,15 +117,19 @@ def text_index(df: DataFrame, site: Site, note: str = "") -> DataFrame:
     )
 
 
-def full_corpus(df: DataFrame, site: Site, note: str = "", body: str = "markdown") -> DataFrame:
-    """(site, body): all selected pages' Markdown, each under its title, between rules."""
+def full_corpus(df: DataFrame, site: Site, note: str = "", body: str = "markdown", content: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(site, body): all selected pages' Markdown, each under its title, between rules.
+
+    ``content`` adds the column ``body`` to the selected pages, where they have none yet.
+    """
     d = F.coalesce(F.col("description"), F.lit("")) if "description" in df.columns else F.lit("")
     part = F.concat(
         F.lit("# "), F.col("title"), F.lit("\n\nURL: "), F.col("url"),
         F.when(d != "", F.concat(F.lit("\nDescription: "), d)).otherwise(""),
         F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")), F.lit("\n\n---\n"),
     )
-    parts = full_pages(df, site.corpus).select("site", "page_ord", part.alias("part"))
+    selected = full_pages(df, site.corpus)
+    parts = (content(selected) if content else selected).select("site", "page_ord", part.alias("part"))
     names = site_names(df, site)
     if site.corpus.max_pages is not None:
         over = refused(df, site.corpus.max_pages)

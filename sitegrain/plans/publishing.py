@@ -39,7 +39,12 @@ def section_counts(spark, sf):
 
 def _full(mode):
     site = SITE.but(corpus=Corpus(sections=SECTIONS, full_mode=mode))
-    return lambda spark, sf: corpus.full_corpus(_titled(spark, sf).withColumn("markdown", F.left("html", F.lit(200))), site)
+
+    def content(rows):
+        rows = rows.select("site", "page_ord", "title", "url", "description", "html")
+        return records.with_content(rows, site).withColumn("markdown", F.col("content")["markdown"])
+
+    return lambda spark, sf: corpus.full_corpus(_titled(spark, sf), site, content=content)
 
 
 def refused_sites(spark, sf):
