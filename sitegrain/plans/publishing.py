@@ -139,7 +139,7 @@ def markdown_documents(spark, sf):
 
 def text_functions(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    t = F.concat(F.left("text", F.lit(60)), F.lit(" <a href=\"x\">&amp;'|\\</a>\n"), F.col("doc_id"))
+    t = F.concat("text", F.lit(" <a href=\"x\">&amp;'|\\</a>\n"), F.col("doc_id"))
     return d.select(
         "doc_id", text.escape_xml(t).alias("xml"), text.escape_attribute(t).alias("attribute"), text.table_cell(t).alias("cell"), text.decode_entities(text.escape_text(t)).alias("back"),
         text.json_string(t).alias("quoted"), text.pointer_child(F.lit("/a"), F.concat("source", F.lit("~/x"))).alias("pointer"), text.humanize(F.lit("hELLO-wide_world")).alias("human"),

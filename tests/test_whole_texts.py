@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 
 from sitegrain.config import Site
 from sitegrain.functions.html import markdown
 from sitegrain.plans import registry
+from tests.compare import differences
 
 HTML = "<html><head><title>{0}</title></head><body><main><h1>{0}</h1>{1}</main></body></html>"
 HTML_TITLES = {"/b": "T0", "/": "T1"}
@@ -27,3 +30,19 @@ def test_full_corpus_holds_the_markdown_of_whole_pages(spark, tmp_path, name, he
 def _markdown(pages, path):
     [(url, html)] = [(u, h) for _, u, h in pages if u == f"https://a.com{path}"]
     return markdown.extract(html, Site().extraction, url)["markdown"]
+
+
+def test_text_functions_read_past_the_60th_character(spark, tmp_path):
+    rows = [(0, "x" * 80 + " & < | \\ \n end", "s"), (1, "y" * 60 + "&amp;", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in registry.QUERIES["text_functions"](spark, str(tmp_path)).collect()}
+    assert got[0].xml.startswith("x" * 80 + " &amp; &lt; | \\ \n end &lt;a")
+    assert got[0].cell.startswith("x" * 80 + " & < \\| \\\\   end <a")
+    assert got[0].quoted.startswith('"' + "x" * 80 + " & < | \\\\ \\n end <a")
+    assert got[1].back.startswith("y" * 60 + "&amp; <a")
+
+
+def test_text_functions_agree_with_sql_over_whole_texts(spark):
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    whole = registry.ORACLE_SQL["text_functions"].replace("left(text, 60)", "text")
+    assert differences(spark, folder, registry.QUERIES["text_functions"], whole) == ""
