@@ -121,16 +121,22 @@ def write_shards(sharded: DataFrame, path: str) -> None:
 
 
 def digest(df: DataFrame, shards: int = 40) -> DataFrame:
-    """One row per document: size, CRC of the text, shard and slot."""
-    slim = df.select(
+    """One row per document: size, CRC of the text, shard and slot.
+
+    Texts are scattered, shuffled and written with their ids; size and CRC are
+    those of the texts that come out of the written buckets.
+    """
+    # ``need`` sizes the buckets and ``tie`` tells apart rows that share an id.
+    rows = df.select(
         "doc_id",
-        text_bytes(F.col("text")).alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        "text",
+        text_bytes(F.col("text")).alias("need"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("tie"),
     )
-    return shuffle_to_shards(slim, shards, ["doc_id", "text_crc32"], "size").select(
+    return shuffle_to_shards(rows, shards, ["doc_id", "tie"], "need").select(
         "doc_id",
-        "size",
-        "text_crc32",
+        text_bytes(F.col("text")).alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("rows").alias("law"),
         "shard",
         "slot",

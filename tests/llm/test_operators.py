@@ -338,3 +338,35 @@ def test_odd_texts_do_not_stop_the_encoder():
         cuts = np.cumsum([0, *counts])
         got += [ids[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     assert got == want
+
+
+def test_shards_move_texts_and_read_them_back(docs, rows, monkeypatch):
+    """Size and CRC are of the texts that the written buckets hold."""
+    from pyspark.sql import functions as F
+
+    kept = []
+
+    def spoiled(df, name):
+        kept.append(staged(df, name))
+        item = lambda x: x.withField("row", x["row"].withField("text", F.concat(x["row"]["text"], F.lit("!"))))
+        return kept[-1].withColumn("items", F.transform("items", item))
+
+    staged = sharding.staged
+    monkeypatch.setattr(sharding, "staged", spoiled)
+    got = by_id(sharding.digest(docs, 7))
+    held = kept[0].select(F.explode("items").alias("i")).select("i.row.doc_id", "i.row.text").collect()
+    assert sorted((i, t) for i, t in held if t is not None) == sorted((i, t) for i, t, _ in rows if t is not None)
+    for i, text, _ in rows:
+        came = "" if text is None else text + "!"
+        assert (got[i].size, got[i].text_crc32) == (16 + len(came.encode()), zlib.crc32(came.encode()))
+
+
+def test_written_shards_hold_the_texts_in_slot_order(spark, docs, rows, tmp_path):
+    sharded = sharding.shuffle_to_shards(docs, 3, ["doc_id"])
+    sharding.write_shards(sharded, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "source").collect()
+    key = lambda r: (r[0], r[1] or "", r[2] or "")
+    assert sorted(map(tuple, back), key=key) == sorted(rows, key=key)
+    for k in range(3):
+        slots = [r.slot for r in spark.read.parquet(str(tmp_path / "out" / f"shard={k}")).collect()]
+        assert slots == list(range(len(slots)))
