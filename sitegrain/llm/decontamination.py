@@ -6,7 +6,8 @@ that any run of ``U`` lies in one window and an item fills a good part of it:
 containment is then a Jaccard similarity that MinHash can see, however long the
 document is.  Signatures are one-permutation MinHash (the least hash in each of
 ``BINS`` bins); one equal bin makes a candidate, and exact shingle containment
-in the window decides.
+in the window decides.  An item so small that all its shingles are asked for has
+few bins to be seen by: any of its shingles makes a candidate.
 
 The index holds the items, which are few; it is sent to the executors in blocks
 of bounded size, and documents are only ever scanned, never moved.
@@ -115,11 +116,12 @@ def search(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, di
                     if (row, item, window) in seen:
                         continue
                     inside = runs[begin + window * step : min(begin + (window + 2) * step, end)]
-                    same = inside[inside % U64(BINS) == runs[at] % U64(BINS)]
-                    if same.min() != runs[at]:  # another shingle is least: this bin differs
-                        continue
-                    seen.add((row, item, window))
                     shingles = index.shingle_sets[item]
+                    if len(shingles) - 1 >= index.threshold * len(shingles):
+                        same = inside[inside % U64(BINS) == runs[at] % U64(BINS)]
+                        if same.min() != runs[at]:  # another shingle is least: this bin differs
+                            continue
+                    seen.add((row, item, window))
                     shared = int(np.isin(shingles, inside).sum())
                     if shared >= index.threshold * len(shingles):
                         best = out.setdefault(row, {})

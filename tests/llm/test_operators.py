@@ -370,3 +370,13 @@ def test_written_shards_hold_the_texts_in_slot_order(spark, docs, rows, tmp_path
     for k in range(3):
         slots = [r.slot for r in spark.read.parquet(str(tmp_path / "out" / f"shard={k}")).collect()]
         assert slots == list(range(len(slots)))
+
+
+def test_items_of_few_shingles_are_always_found(spark):
+    rng = random.Random(3)
+    items = [(k, " ".join(f"i{k}x{j}" for j in range(5 + k % 3))) for k in range(300)]
+    fill = lambda: " ".join(str(rng.random()) for _ in range(40))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = spark.createDataFrame([(k, f"{fill()} {t} {fill()}") for k, t in items], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.digest(texts, bench).collect()}
+    assert got == {(k, k) for k, _ in items}
