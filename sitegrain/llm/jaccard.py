@@ -319,17 +319,8 @@ def _links(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     return _connected(_tiled(blocks, texts, threshold), pairs)
 
 
-def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int = 3, threshold: float = 0.9) -> DataFrame:
-    """(rid, n_shingles, component_id) of every row.
-
-    Two rows link when their sets of shingles reach the similarity ``threshold``;
-    ``component_id`` is the smallest ``rid`` reachable by links, itself included.
-    A text without words, empty or null, has 0 shingles and links with nothing.
-    Rows with equal sets link with each other.  A null ``rid`` takes no part: its
-    component is null.  Repeated rows are one node and each gets its row; should
-    texts that differ share a ``rid``, both rows have the larger size and the
-    smaller component.
-    """
+def _multiplied(df: DataFrame, text: str, rid: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sets, their classes, the blocks of classes to multiply, and the texts of those."""
     sets = staged(_sets(df.filter(F.col(rid).isNotNull()), text, rid, width, threshold), "sets")
     classes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"), F.first("sigs").alias("sigs"), F.first("bins").alias("bins"))
     classes = staged(classes, "classes")
@@ -347,6 +338,21 @@ def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int =
     members = staged(small.select("node", "n_shingles", "block").unionByName(known.join(smaller, "node").select("node", "n_shingles", "block")), "blocks")
     texts = df.select(F.col(rid).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     texts = maybe_in(texts, "node", members, "node").join(members.select("node").distinct(), "node", "left_semi")
+    return sets, classes, members, texts
+
+
+def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int = 3, threshold: float = 0.9) -> DataFrame:
+    """(rid, n_shingles, component_id) of every row.
+
+    Two rows link when their sets of shingles reach the similarity ``threshold``;
+    ``component_id`` is the smallest ``rid`` reachable by links, itself included.
+    A text without words, empty or null, has 0 shingles and links with nothing.
+    Rows with equal sets link with each other.  A null ``rid`` takes no part: its
+    component is null.  Repeated rows are one node and each gets its row; should
+    texts that differ share a ``rid``, both rows have the larger size and the
+    smaller component.
+    """
+    sets, classes, members, texts = _multiplied(df, text, rid, width, threshold)
     found = components(_links(members, texts, width, threshold))
     of = classes.select("s1", "s2", "n_shingles", "node").join(found, "node", "left").select(
         "s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id")
@@ -359,6 +365,42 @@ def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int =
     )
 
 
+def links(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int = 3, threshold: float = 0.9) -> DataFrame:
+    """(a, b, shared, size_a, size_b, copies_a, copies_b) of every link.
+
+    ``a`` < ``b`` stand for their classes: the smallest ``rid`` with the set, which
+    ``copies`` rids have; ``shared`` is the overlap.  A class of several copies
+    links with itself, a row in which ``a`` is ``b``.  Rows that link are those of
+    :func:`linked`; a ``rid`` is taken to have one text.
+    """
+    sets, _, members, texts = _multiplied(df, text, rid, width, threshold)
+
+    def group(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        rows = rows.drop_duplicates(["block", "side", "node"]).sort_values(["block", "side", "node"])
+        held = dict(shingle_sets(pa.array(rows["text"], pa.large_string()), width))
+        nodes = rows["node"].tolist()
+        for one, two in _sides(rows):
+            other = one if two is None else two
+            i, j = product([held[k] for k in one], None if two is None else [held[k] for k in two], threshold)
+            for x, y in zip(one[i].tolist(), other[j].tolist(), strict=True):
+                shared = len(np.intersect1d(held[x], held[y], assume_unique=True))
+                found.append((*sorted((nodes[x], nodes[y])), shared))
+        return pd.DataFrame(found, columns=["a", "b", "shared"], dtype="int64")
+
+    sizes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"), F.countDistinct("rid").alias("copies"))
+    sizes = staged(sizes.select("node", "n_shingles", "copies"), "copies")
+    work = _tiled(members, texts, threshold).groupBy("many", "pack", "t1", "t2")
+    pairs = work.applyInPandas(group, "a long, b long, shared long").distinct()
+    for side in "ab":
+        of = sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("copies").alias(f"copies_{side}"))
+        pairs = pairs.join(of, side)
+    own = sizes.filter("copies > 1").selectExpr(
+        "node AS a", "node AS b", "n_shingles AS shared", "n_shingles AS size_a", "n_shingles AS size_b", "copies AS copies_a", "copies AS copies_b"
+    )
+    return pairs.select(own.columns).unionByName(own)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """One row per document: set size and component."""
     return linked(df.select("doc_id", "text"))

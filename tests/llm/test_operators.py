@@ -380,3 +380,32 @@ def test_items_of_few_shingles_are_always_found(spark):
     texts = spark.createDataFrame([(k, f"{fill()} {t} {fill()}") for k, t in items], "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.digest(texts, bench).collect()}
     assert got == {(k, k) for k, _ in items}
+
+
+def test_jaccard_links_are_all_returned(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"g{g}w{j}" for j in range(200)) for g in range(3)]
+    made = []
+    for g, text in enumerate(texts):  # near copies at one place each, so that all of a group link
+        for k in range(6):
+            words = text.split()
+            words[10 * k] = f"other{g}x{k}"
+            made += [" ".join(words)] * (1 + k % 2)
+    made += [" ".join(str(rng.random()) for _ in range(50)) for _ in range(5)] + ["", None, "one", "one"]
+    rows = list(enumerate(made))
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall(lowered(t or ""))
+        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+    first, copies = {}, collections.Counter(sets.values())
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = set()
+    for x, a in first.items():
+        for y, b in first.items():
+            if x and (a < b or (a == b and copies[x] > 1)) and 100 * len(x & y) >= 90 * len(x | y):
+                want.add((a, b, len(x & y), len(x), len(y), copies[x], copies[y]))
+    assert sum(a != b for a, b, *_ in want) == 45
+    assert sorted(map(tuple, jaccard.links(df).collect())) == sorted(want)
