@@ -4,40 +4,83 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six separators of ``[^\x20\x09-\x0D]+`` words.
 SPACES = " \t\n\x0b\x0c\r"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_OWN_DIR = "sitegrain.staging.dir"
+#: Where staged tables are, by the identity of their DataFrame while it lives.
+_PLACES: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share, for tables that cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset,
-    as in a local test session, a temporary folder is made.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that is unset, a
+    session in one process (``local[...]``) gets a temporary folder of its own; on
+    a cluster, whose machines would not see it, ``ValueError`` is raised.
     """
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("sitegrain.staging.dir", None)
+    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN_DIR, None)
     if not where:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sitegrain-")
-        spark.conf.set("sitegrain.staging.dir", where)
+        spark.conf.set(_OWN_DIR, where)
     return where.rstrip("/")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Let Spark remove the shuffle files of each query that ends meanwhile.
+
+    Else those of a chain of jobs stay until the driver's garbage is collected.
+    """
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Later stages then depend on files that survive a lost executor, and what is
-    read several times is computed once.
+    read several times is computed once.  Give the table to :func:`discard` when
+    all that is made from it has been written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitegrain/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    # Shuffle files of a finished job go when the driver's garbage is collected;
-    # a chain of jobs would otherwise hold those of all of them.
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    with shuffles_removed(spark):
+        df.write.option("compression", codec).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(out)] = path
+    weakref.finalize(out, _PLACES.pop, id(out), None)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete the files of tables made by :func:`staged`; others are left alone.
+
+    What has not been written yet must not depend on them.
+    """
+    for table in tables:
+        path = _PLACES.pop(id(table), None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def let(value: Column, body) -> Column:
@@ -56,23 +99,52 @@ def word_count(text: Column) -> Column:
     return F.size(word_array(text)).cast("long")
 
 
-#: Values that ids are reduced to before they are looked for; bounds a broadcast.
+def content_key(text: Column) -> list[Column]:
+    """128 bits that tell texts apart; null is like empty."""
+    body = F.coalesce(text, F.lit(""))
+    return [F.xxhash64(F.lit(1), body).alias("k1"), F.xxhash64(F.lit(2), body).alias("k2")]
+
+
+def name(column: str) -> Column:
+    """The top-level column of that name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def unused(stem: str, df: DataFrame) -> str:
+    """A column name that ``df`` does not have in any case."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
+def whole_row(df: DataFrame, *but: str) -> Column:
+    """All columns of ``df`` as one struct, except ``but`` (whose case is ignored).
+
+    Operators carry the caller's columns in it, so that no name of theirs can
+    clash with one of the operator's own.
+    """
+    gone = {c.lower() for c in but}
+    kept = [name(c) for c in df.columns if c.lower() not in gone]
+    return F.struct(*kept) if kept else F.lit(None).cast("struct<>")
+
+
+#: Values that keys are reduced to before they are looked for; bounds a broadcast.
 BUCKETS = 1 << 20
 
 
-def maybe_in(df: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among the ids: all that are, and some more.
+def maybe_in(df: DataFrame, keys: list[str], known: DataFrame, within: bool = True) -> DataFrame:
+    """Rows of ``df`` whose ``keys`` may be among those of ``known``: all that are, and some more.
 
-    Ids are reduced to one of ``BUCKETS`` hash values, so what is broadcast is at
-    most that many numbers, however many ids there are; a join on the ids has to
-    follow.  It keeps wide rows that nobody asks for from being moved.
+    ``within=False`` gives the other rows, which surely are not.  Keys are reduced
+    to one of ``BUCKETS`` hash values, so what is broadcast is at most that many
+    numbers, however many keys there are; a join on the keys has to follow.  It
+    keeps wide rows that nobody asks for from being moved.
     """
-    mark = "_bucket"
-    while mark in df.columns:
-        mark += "_"
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-    known = ids.select(bucket(id_column).alias(mark)).distinct()
-    return df.withColumn(mark, bucket(key)).join(F.broadcast(known), mark, "left_semi").drop(mark)
+    mark = unused("_bucket", df)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int").alias(mark)
+    held = known.select(bucket).distinct()
+    return df.select("*", bucket).join(F.broadcast(held), mark, "left_semi" if within else "left_anti").drop(mark)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

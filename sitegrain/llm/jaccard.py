@@ -4,7 +4,10 @@ A document is a row of a sparse 0/1 matrix over hashed shingles, and overlaps
 are entries of that matrix times its transpose.  Multiplying everything would
 touch every pair, so the product is cut into blocks:
 
-1. Documents with equal sets are one row (a class).
+1. Documents with equal sets are one row (a class).  A set that links with another
+   has all but ``1 - t`` of its shingles in some other set, so sets that have fewer
+   are out: first told by a fixed part of all shingles, then, for the sets left, by
+   all.  The lone shingles of unlike texts are most of the matrix, and go here.
 2. Two sets of similarity ``t`` differ in at most ``(1 - t) / (1 + t)`` of their
    joint size.  Shingles are dealt by hash into one part more than that (and a
    few to make up for empty parts), so linked sets agree in a whole part that is
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, staged
+from .common import discard, maybe_in, name, staged, unused
 from .kernels import U64, mix, pieces, shingles, words
 
 #: Rows of a tile of the product.
@@ -108,38 +111,121 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray
                 yield piece.lo + k, mix(shingles(w.hashes[a:b], b - a, salt=b - a) + U64(b - a))
 
 
-_SETS = "rid long, n_shingles long, s1 long, s2 long, bins binary, sigs array<long>"
+def set_hash(own: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed numbers."""
+    return tuple(int(np.add.reduce(mix(x)).view(np.int64)) for x in (own, own ^ U64(0xC0FFEE)))
 
 
-def _sets(df: DataFrame, text: str, rid: str, width: int, threshold: float) -> DataFrame:
-    """Size, 128-bit hash and part hashes of each set that is not empty."""
+def _sets(df: DataFrame, text: str, rid: str, width: int) -> DataFrame:
+    """Size and 128-bit hash of each set that is not empty."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            rows, sizes, one, two, bins, sigs = [], [], [], [], [], []
+            found = [(row, len(own), *set_hash(own)) for row, own in shingle_sets(batch.column(1), width)]
+            rows, *facts = zip(*found, strict=True) if found else ([], [], [], [])
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (ids[list(rows)], *facts)], ["rid", "n_shingles", "s1", "s2"])
+
+    return df.select(F.col(rid).alias("rid"), F.col(text)).mapInArrow(scan, "rid long, n_shingles long, s1 long, s2 long")
+
+
+#: Bits of the map of hashes that two sets have: 16 MB, however many there are.
+_MAP_BITS = 1 << 27
+_MAP_WORD = 1 << 15
+_ROWS = "x long, s1 long, need int"
+
+
+def _map_of(shared: DataFrame) -> np.ndarray:
+    """Which values modulo ``_MAP_BITS`` the column ``x`` has, one bit each.
+
+    At most ``_MAP_BITS / 8`` bytes come to the driver.  Where more hashes are
+    shared than the map can tell apart it lets through more, never less.
+    """
+    bit = F.pmod("x", F.lit(_MAP_BITS))
+    words = shared.groupBy(F.floor(bit / _MAP_WORD).alias("word")).agg(F.bitmap_construct_agg(bit % _MAP_WORD).alias("bits"))
+    out = np.zeros((_MAP_BITS // _MAP_WORD, _MAP_WORD // 8), np.uint8)
+    for row in words.toLocalIterator():
+        out[row["word"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def _matrix(df: DataFrame, text: str, width: int, hashes, only=None) -> DataFrame:
+    """(``x``, ``s1``, ``need``): hashes of each set, once per set and task.
+
+    ``hashes`` gives those of a sorted set, and of how many another set must have
+    them too.  ``only`` is a broadcast map of the hashes that other sets have; a
+    set that cannot reach its need by it has no rows, one that needs none has one.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        wanted = None if only is None else only.value
+        for batch in batches:
+            found, owners, needs = [np.zeros(0, U64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+            for _, own in shingle_sets(batch.column(0), width):
+                s1 = set_hash(own)[0]
+                if s1 in seen:
+                    continue
+                seen.add(s1)
+                x, need = hashes(own)
+                if wanted is not None:
+                    bit = x & U64(_MAP_BITS - 1)
+                    x = x[(wanted[(bit >> U64(3)).astype(np.int64)] >> (bit & U64(7)).astype(np.uint8)) & 1 == 1]
+                    if len(x) < need:
+                        continue
+                    if not need:
+                        x = np.append(x, np.array([s1]).view(U64))
+                found.append(x)
+                owners.append(np.full(len(x), s1))
+                needs.append(np.full(len(x), need, np.int32))
+            yield pa.record_batch([np.concatenate(found).view(np.int64), np.concatenate(owners), np.concatenate(needs)], ["x", "s1", "need"])
+
+    return df.select(text).mapInArrow(scan, _ROWS)
+
+
+def _met(df: DataFrame, text: str, width: int, hashes) -> tuple[DataFrame, DataFrame]:
+    """Rows of the matrix that may have a hash in common, and the hashes that do.
+
+    The rows are shuffled, never stored: a first pass counts which hashes two sets
+    have, a second takes these alone to the sets.  The second result is a staged
+    table (``x``, ``least``).
+    """
+    shared = _matrix(df, text, width, hashes).groupBy("x").agg(F.min("s1").alias("least"), F.max("s1").alias("most"))
+    shared = staged(shared.filter("least != most").select("x", "least"), "shared")
+    only = df.sparkSession.sparkContext.broadcast(_map_of(shared))
+    return _matrix(df, text, width, hashes, only), shared
+
+
+def spread(own: np.ndarray, share: float, threshold: float) -> tuple[np.ndarray, int]:
+    """The part of a set that falls in ``share`` of all hashes, and of how many of
+    it another set must have them for a link: all but those that may differ."""
+    inside = own if share >= 1 else own[mix(own ^ U64(0x51CE)) < U64(int(share * 2.0**64))]
+    differ = len(own) - math.ceil(threshold * len(own) - 1e-9)
+    return inside, max(len(inside) - differ, 0)
+
+
+def _shared_enough(df: DataFrame, text: str, width: int, threshold: float, share: float) -> DataFrame:
+    """``s1`` of the sets that have enough shingles with others; a staged table."""
+    rows, shared = _met(df, text, width, lambda own: spread(own, share, threshold))
+    held = rows.join(shared.select("x", F.lit(1).alias("one")), "x", "left").groupBy("s1").agg(F.count("one").alias("n"), F.max("need").alias("need"))
+    out = staged(held.filter("n >= need").select("s1"), "enough")
+    discard(shared)
+    return out
+
+
+def _bins(texts: DataFrame, width: int) -> DataFrame:
+    """(``node``, ``bins``): counts of a set's shingles by the low bits of their hashes."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            rows, found = [], []
             for row, own in shingle_sets(batch.column(1), width):
                 rows.append(row)
-                sizes.append(len(own))
-                one.append(int(np.add.reduce(mix(own)).view(np.int64)))
-                two.append(int(np.add.reduce(mix(own ^ U64(0xC0FFEE))).view(np.int64)))
-                bins.append(np.minimum(np.bincount((own & U64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
-                sigs.append(signatures(own, threshold).view(np.int64))
-            counts = np.cumsum([0, *map(len, sigs)])
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-            yield pa.record_batch(
-                [
-                    pa.array(ids[rows] if rows else [], pa.int64()),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(one, pa.int64()),
-                    pa.array(two, pa.int64()),
-                    pa.array(bins, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pa.array(flat, pa.int64())),
-                ],
-                ["rid", "n_shingles", "s1", "s2", "bins", "sigs"],
-            )
-
-    return df.select(F.col(rid).alias("rid"), F.col(text)).mapInArrow(scan, _SETS)
+                found.append(np.minimum(np.bincount((own & U64(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes())
+            yield pa.record_batch([pa.array(nodes[rows], pa.int64()), pa.array(found, pa.binary())], ["node", "bins"])
+
+    return texts.select("node", "text").mapInArrow(scan, "node long, bins binary")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -150,8 +236,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     the longest path.  Labels stay distributed and every round is a written table.
     Neighbours' labels are aggregated before they meet, so a hub is no hot spot.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    own = staged(edges.select("a", "b"), "edges")
+    both = staged(own.unionByName(own.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    held = labels = staged(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     for _ in range(rounds):
         around = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
         nearer = labels.join(around, labels["node"] == around["a"]).select("node", "label", F.least("label", "near").alias("new"))
@@ -162,11 +249,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             "node", F.least("new", F.coalesce("jump", "new")).alias("label"), F.col("label").alias("old")
         )
         jumped = staged(jumped, "labels")
-        labels = jumped.select("node", "label")
+        discard(held)
+        held, labels = jumped, jumped.select("node", "label")
         if not jumped.filter(F.col("label") != F.col("old")).limit(1).collect():
             break
     else:
         raise RuntimeError("components did not settle")
+    discard(both, own)
     return labels.withColumnRenamed("label", "component")
 
 
@@ -232,9 +321,11 @@ def alike(left: np.ndarray, right: np.ndarray, sizes_l: np.ndarray, sizes_r: np.
     return np.concatenate(pairs_i), np.concatenate(pairs_j)
 
 
-def _tiled(blocks: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
+def _tiled(blocks: DataFrame, facts: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Work groups of the product: (node, block, n_shingles) with ``facts`` by node.
 
+    The second result is a staged table that the first reads.
+
     A block's rows are ordered by size and cut into tiles; a pair of tiles meets
     only if its sizes allow a link, and each such pair is one group.  Blocks of one
     tile are packed, some hundred rows to a group.
@@ -264,16 +355,17 @@ def _tiled(blocks: DataFrame, facts: DataFrame, threshold: float) -> DataFrame:
     )
     packs = 1 + placed.count() // TILE
     pack = F.when(F.col("many"), F.col("block")).otherwise(F.pmod(F.xxhash64("block"), F.lit(packs)))
-    return (
+    rows = (
         placed.join(work.join(many, "block"), ["block", "tile"])
         .withColumn("pack", pack)
         .join(facts, "node")
         .select("many", "pack", "t1", "t2", "side", "block", "node", "n_shingles", *[c for c in facts.columns if c != "node"])
     )
+    return rows, placed
 
 
-def _connected(rows: DataFrame, pairs) -> DataFrame:
-    """Links (a, b) that connect what ``pairs`` finds in each block of each group."""
+def _connected(blocks: DataFrame, facts: DataFrame, threshold: float, pairs) -> DataFrame:
+    """Components of what ``pairs`` finds in each block of each work group."""
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -283,7 +375,10 @@ def _connected(rows: DataFrame, pairs) -> DataFrame:
             found += forest(i, j)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return rows.groupBy("many", "pack", "t1", "t2").applyInPandas(group, "a long, b long")
+    rows, tiles = _tiled(blocks, facts, threshold)
+    found = components(rows.groupBy("many", "pack", "t1", "t2").applyInPandas(group, "a long, b long"))
+    discard(tiles)
+    return found
 
 
 def _sides(rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
@@ -305,7 +400,7 @@ def _screen(blocks: DataFrame, bins: DataFrame, threshold: float) -> DataFrame:
             i, j = alike(table[one], table[two], sizes[one], sizes[two], threshold)
             yield nodes[one][i].tolist(), nodes[two][j].tolist()
 
-    return _connected(_tiled(blocks, bins, threshold), pairs)
+    return _connected(blocks, bins, threshold, pairs)
 
 
 def _links(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -316,29 +411,46 @@ def _links(blocks: DataFrame, texts: DataFrame, width: int, threshold: float) ->
             i, j = product([sets[k] for k in one], None if two is None else [sets[k] for k in two], threshold)
             yield nodes[one][i].tolist(), nodes[one if two is None else two][j].tolist()
 
-    return _connected(_tiled(blocks, texts, threshold), pairs)
-
-
-def _multiplied(df: DataFrame, text: str, rid: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Sets, their classes, the blocks of classes to multiply, and the texts of those."""
-    sets = staged(_sets(df.filter(F.col(rid).isNotNull()), text, rid, width, threshold), "sets")
-    classes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"), F.first("sigs").alias("sigs"), F.first("bins").alias("bins"))
-    classes = staged(classes, "classes")
-    parts = classes.select("node", F.explode("sigs").alias("sig"))
-    shared = parts.groupBy("sig").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    shared = staged(shared.select("sig", "least"), "shared")
-    near = parts.join(shared, "sig").filter(F.col("node") != F.col("least")).select(F.col("least").alias("a"), F.col("node").alias("b"))
-    blocks = components(near.distinct())
-    known = classes.select("node", "n_shingles")
-    members = staged(known.join(blocks.withColumnRenamed("component", "block"), "node"), "members")
+    return _connected(blocks, texts, threshold, pairs)
+
+
+def _multiplied(df: DataFrame, text: str, rid: str, width: int, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets, blocks of class representatives to multiply, and texts with theirs among them.
+
+    All three are staged tables.
+    """
+    df = df.filter(name(rid).isNotNull()).select(name(rid).alias("node"), F.coalesce(name(text), F.lit("")).alias("text"))
+    sets = staged(_sets(df, "text", "node", width), "sets")
+    classes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"))
+    # Sets are told apart by half of their hash until blocks are known: two sets
+    # that agree in it would share a block, no more.
+    texts = df
+    for share in (1.5 * (1 - threshold), 1.0):
+        enough = _shared_enough(texts, "text", width, threshold, share)
+        before, texts = texts, staged(_texts_of(texts, classes.join(enough, "s1", "left_semi")), "enough")
+        discard(before, enough)
+    rows, shared = _met(texts, "text", width, lambda own: (signatures(own, threshold), 1))
+    near = rows.join(shared, "x").filter(F.col("s1") != F.col("least"))
+    near = staged(near.select(F.col("least").alias("a"), F.col("s1").alias("b")).distinct(), "near")
+    discard(shared)
+    blocks = components(near)
+    discard(near)
+    members = staged(classes.join(blocks.select(F.col("node").alias("s1"), F.col("component").alias("block")), "s1").select("node", "n_shingles", "block"), "members")
     counted = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
-    large = members.join(counted.filter(F.col("n") >= SCREENED).select("block"), "block", "left_semi")
+    large = staged(members.join(counted.filter(F.col("n") >= SCREENED).select("block"), "block", "left_semi"), "large")
     small = members.join(counted.filter(F.col("n") < SCREENED).select("block"), "block", "left_semi")
-    smaller = components(_screen(large, classes.select("node", "bins"), threshold)).withColumnRenamed("component", "block")
-    members = staged(small.select("node", "n_shingles", "block").unionByName(known.join(smaller, "node").select("node", "n_shingles", "block")), "blocks")
-    texts = df.select(F.col(rid).alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    texts = maybe_in(texts, "node", members, "node").join(members.select("node").distinct(), "node", "left_semi")
-    return sets, classes, members, texts
+    bins = staged(_bins(_texts_of(texts, large), width), "bins")
+    smaller = _screen(large, bins, threshold).withColumnRenamed("component", "block")
+    discard(bins)
+    screened = large.select("node", "n_shingles").join(smaller, "node")
+    blocks = staged(small.select("node", "n_shingles", "block").unionByName(screened.select("node", "n_shingles", "block")), "blocks")
+    discard(members, large)
+    return sets, blocks, texts
+
+
+def _texts_of(df: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of ``df`` (``node``, ``text``) whose node is a member."""
+    return maybe_in(df, ["node"], members).join(members.select("node").distinct(), "node", "left_semi")
 
 
 def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int = 3, threshold: float = 0.9) -> DataFrame:
@@ -352,14 +464,14 @@ def linked(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int =
     texts that differ share a ``rid``, both rows have the larger size and the
     smaller component.
     """
-    sets, classes, members, texts = _multiplied(df, text, rid, width, threshold)
-    found = components(_links(members, texts, width, threshold))
-    of = classes.select("s1", "s2", "n_shingles", "node").join(found, "node", "left").select(
-        "s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id")
-    )
+    sets, blocks, texts = _multiplied(df, text, rid, width, threshold)
+    found = _links(blocks, texts, width, threshold)
+    discard(blocks, texts)
+    classes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"))
+    of = classes.join(found, "node", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     known = sets.select("rid", "n_shingles", "s1", "s2").join(of, ["s1", "s2", "n_shingles"])
     known = known.groupBy("rid").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
-    every = df.select(F.col(rid).alias("rid"))
+    every = df.select(name(rid).alias("rid"))
     return every.join(known, "rid", "left").select(
         F.col("rid").alias(rid), F.coalesce("n_shingles", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", "rid").alias("component_id")
     )
@@ -373,7 +485,7 @@ def links(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int = 3
     links with itself, a row in which ``a`` is ``b``.  Rows that link are those of
     :func:`linked`; a ``rid`` is taken to have one text.
     """
-    sets, _, members, texts = _multiplied(df, text, rid, width, threshold)
+    sets, members, texts = _multiplied(df, text, rid, width, threshold)
 
     def group(rows: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -390,8 +502,8 @@ def links(df: DataFrame, text: str = "text", rid: str = "doc_id", width: int = 3
 
     sizes = sets.groupBy("s1", "s2", "n_shingles").agg(F.min("rid").alias("node"), F.countDistinct("rid").alias("copies"))
     sizes = staged(sizes.select("node", "n_shingles", "copies"), "copies")
-    work = _tiled(members, texts, threshold).groupBy("many", "pack", "t1", "t2")
-    pairs = work.applyInPandas(group, "a long, b long, shared long").distinct()
+    work, _ = _tiled(members, texts, threshold)
+    pairs = work.groupBy("many", "pack", "t1", "t2").applyInPandas(group, "a long, b long, shared long").distinct()
     for side in "ab":
         of = sizes.select(F.col("node").alias(side), F.col("n_shingles").alias(f"size_{side}"), F.col("copies").alias(f"copies_{side}"))
         pairs = pairs.join(of, side)
@@ -412,6 +524,11 @@ def one_of_each(df: DataFrame, text: str = "text", rid: str = "doc_id", width: i
     Texts without words, null ids and components of one stay; of rows that are
     repeated with their id, all stay or all go.
     """
-    found = linked(df, text, rid, width, threshold)
-    gone = found.filter(F.col(rid).isNotNull() & (F.col("component_id") != F.col(rid))).select(F.col(rid).alias("_gone")).distinct()
-    return df.join(gone, df[rid] == gone["_gone"], "left_anti")
+    found = linked(df, text, rid, width, threshold).select(name(rid).alias("rid"), "component_id")
+    gone = staged(found.filter(F.col("rid").isNotNull() & (F.col("component_id") != F.col("rid"))).select("rid").distinct(), "gone")
+    mark = unused("rid", df)
+    rows = df.select("*", name(rid).alias(mark))
+    known = gone.select(F.col("rid").alias(mark))
+    # Most rows are told to stay by a hash of their id; the others have to meet it.
+    sure = maybe_in(rows, [mark], known, within=False)
+    return sure.unionByName(maybe_in(rows, [mark], known).join(known, mark, "left_anti")).select(*(name(c) for c in df.columns))
