@@ -10,11 +10,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Tokens, media ranges and quality values as headers may spell them.
 _TOKEN = r"[!#$%&'*+.^_`|~\w\-]+"
-_RANGE = re.compile(rf"\*/\*|[!#$%&'+.^_`|~\w\-]+/(?:[!#$%&'+.^_`|~\w\-]+|\*)")
-_PARAMETER = re.compile(rf'({_TOKEN})\s*=\s*({_TOKEN}|"(?:[^"\\]|\\.)*")', re.S)
+_KIND = r"(?:\*/\*|[!#$%&'+.^_`|~\w\-]+/(?:[!#$%&'+.^_`|~\w\-]+|\*))"
+_QUOTED = r'"(?:[^"\\]|\\.)*"'
 _QUALITY = re.compile(r"0(?:\.\d{0,3})?|1(?:\.0{0,3})?")
-_PARTS = {c: re.compile(rf'(?:"(?:[^"\\]|\\.)*"|[^"{c}])*', re.S) for c in ",;"}
+
+_PAIR = rf"\s*;\s*(?P<name>{_TOKEN})\s*=\s*(?P<value>{_TOKEN}|{_QUOTED})"
+_PAIRS = re.compile(_PAIR, re.S)
+_UNNAMED = re.sub(r"\?P<\w+>", "?:", _PAIR)
+#: One range with its parameters, up to a comma or the end.
+_MEMBER = re.compile(rf"\s*({_KIND})((?:{_UNNAMED})*)\s*(,|\Z)", re.S)
 
 
 class Range(NamedTuple):
@@ -29,67 +35,49 @@ MARKDOWN = ("text/markdown", (("charset", "utf-8"),))
 HTML = tuple((t, p) for t in ("text/html", "application/xhtml+xml") for p in ((), (("charset", "utf-8"),)))
 
 
-def _split(text: str, by: str) -> list[str] | None:
-    """Split outside quotes; null if a quote does not end."""
-    out, at = [], 0
-    while True:
-        m = _PARTS[by].match(text, at)
-        out.append(m[0])
-        at = m.end()
-        if at == len(text):
-            return out
-        if text[at] != by:
-            return None
-        at += 1
+def _range(kind: str, given: list[tuple[str, str]]) -> Range | None:
+    """A range with its parameters; null if they contradict each other."""
+    names = [name.lower() for name, _ in given]
+    cut = names.index("q") if "q" in names else len(names)
+    own = names[:cut]
+    if names.count("q") > 1 or len(set(own)) < len(own):
+        return None
+    quality = given[cut][1] if cut < len(given) else "1"
+    if not _QUALITY.fullmatch(quality):
+        return None
+    values = (re.sub(r"\\(.)", r"\1", v[1:-1], flags=re.S) if v[0] == '"' else v for _, v in given[:cut])
+    return Range(kind.lower(), tuple(zip(own, values, strict=False)), float(quality))
 
 
 def parse(header: str | None) -> list[Range] | None:
     """Ranges of an Accept header; none for no header, null if it is malformed.
 
-    Parameters after ``q`` are extensions and do not count.
+    The whole header has to be spelled by the grammar.  Parameters after ``q`` are
+    extensions and do not count.
     """
-    if not header:
-        return []
-    parts = _split(header, ",")
-    if parts is None:
-        return None
-    out = []
-    for part in parts:
-        fields = _split(part, ";")
-        if fields is None or not _RANGE.fullmatch(kind := fields[0].strip().lower()):
+    found, at = [], 0
+    while header and at < len(header):
+        member = _MEMBER.match(header, at)
+        if not member or (member[3] and member.end() == len(header)):
             return None
-        quality, seen = None, {}
-        for field in fields[1:]:
-            m = _PARAMETER.fullmatch(field.strip())
-            if not m:
-                return None
-            name, raw = m[1].lower(), m[2]
-            if name == "q":
-                if quality is not None or not _QUALITY.fullmatch(raw):
-                    return None
-                quality = float(raw)
-            elif quality is None:
-                if name in seen:
-                    return None
-                seen[name] = re.sub(r"\\(.)", r"\1", raw[1:-1]) if raw.startswith('"') else raw
-        out.append(Range(kind, tuple(seen.items()), 1.0 if quality is None else quality))
-    return out
+        found.append(_range(member[1], _PAIRS.findall(member[2])))
+        at = member.end()
+    return None if None in found else found
 
 
 def matches(wanted: Range, offer: tuple[str, tuple]) -> bool:
-    kind, has = offer[0], dict(offer[1])
-    if wanted.type not in ("*/*", kind.split("/")[0] + "/*", kind):
+    """Whether a range takes an offer: its type, and every parameter that it names."""
+    kind, has = offer
+    if wanted.type not in {kind, kind.partition("/")[0] + "/*", "*/*"}:
         return False
-    fold = lambda k, v: v.lower() if k == "charset" else v
-    return all(k in has and fold(k, has[k]) == fold(k, v) for k, v in wanted.parameters)
+    plain = lambda pairs: {(k, v.lower() if k == "charset" else v) for k, v in pairs}
+    return plain(wanted.parameters) <= plain(has)
 
 
 def score(ranges: list[Range], offers) -> float:
-    """The quality of the most specific range that matches; of several offers the best."""
-    def rank(r: Range) -> tuple[int, int]:
-        return (0 if r.type == "*/*" else 1 if r.type.endswith("/*") else 2, len(r.parameters))
-
-    return max((max(((rank(r), r.q) for r in ranges if matches(r, o)), default=((0, 0), 0.0))[1] for o in offers), default=0.0)
+    """The best offer's quality: that of the most specific range that takes it."""
+    strictest = sorted(ranges, key=lambda r: (-r.type.count("*"), len(r.parameters), r.q), reverse=True)
+    return max((next((r.q for r in strictest if matches(r, offer)), 0.0) for offer in offers), default=0.0)
 
 
 def prefers_markdown(header: str | None) -> bool:
@@ -101,7 +89,10 @@ def prefers_markdown(header: str | None) -> bool:
 
 
 def _run(header: pd.Series) -> pd.Series:
-    return header.map(prefers_markdown)
+    # Headers repeat: each distinct one is parsed once per batch.
+    codes, distinct = pd.factorize(header, use_na_sentinel=False)
+    wanted = [prefers_markdown(None if pd.isna(h) else h) for h in distinct]
+    return pd.Series(wanted, dtype=bool).take(codes).reset_index(drop=True)
 
 
 prefers_markdown_column = F.pandas_udf(_run, T.BooleanType())

@@ -39,7 +39,7 @@ def test_roots_and_fallbacks():
     assert (got["strategy"], got["selected_nodes"], got["fallback_reason"]) == (".c", 2, None)
     assert got["markdown"] == "one\n\nin\n\ntwo"
     got = extract("<p>hi", Options(selectors=("#x",)))
-    assert (got["markdown"], got["strategy"], got["fallback_reason"]) == ("hi", "body", 'no element matched "#x"')
+    assert (got["markdown"], got["strategy"], got["fallback_reason"]) == ("hi", "body", "selectors-unmatched")
     assert extract("", Options())["strategy"] == "document"
     with pytest.raises(ValueError):
         Options(selectors=("a[",))
@@ -101,13 +101,28 @@ def test_plain_text_and_selectors():
     [
         ("text/markdown", True), ("text/html,text/markdown;q=0.5", False), ("*/*", False), ("text/markdown;q=0.9,text/html;q=0.8", True), ("text/*", False), (None, False), ("", False),
         ('text/markdown;charset="UTF-8",*/*;q=0.1', True), ("text/markdown;charset=latin1", False), ("text/markdown;q=0", False), ("text/markdown;q=2", False), ("bad", False), ('text/markdown;x="a', False),
-        ("text/markdown, text/html;charset=utf-8", False), ("text/markdown;q=0.5;ext=1", True),
+        ("text/markdown, text/html;charset=utf-8", False), ("text/markdown;q=0.5;ext=1", True), ("text/markdown,", False), (",text/markdown", False), ("text/markdown;", False),
+        ("text/markdown;q=1;q=1", False), ("text/markdown;a=1;A=2", False), ('text/markdown ; charset = "utf\\-8" , */*;q=0.1', True), ("text/markdown;q=1.000", True), ("text/markdown x", False),
     ],
 )
 def test_accept(header, want):
     assert accept.prefers_markdown(header) is want
 
 
+def test_names_of_images_and_links():
+    page = "<main><a href=/a><img src=x aria-labelledby='n m'></a><a href=/b title=' T '></a><a href=/c>shown</a><a href=/d aria-label=L><img src=y></a><i id=n>N</i><b id=m> M </b><img src=z title=Z></main>"
+    got = extract(page)["markdown"]
+    for part in ("[![N M](x)](/a)", '[T](/b " T ")', "[shown](/c)", "[L](/d)", '![Z](z "Z")'):
+        assert part in got
+
+
+def test_content_roots_are_the_outermost_of_the_first_selector_that_matches():
+    page = "<body><article>one<article>in</article></article><nav><article>no</article></nav><article>two</article><p role=main>three</p></body>"
+    got = extract(page)
+    assert (got["strategy"], got["selected_nodes"]) == ("article", 2) and "one" in got["markdown"] and "two" in got["markdown"] and "no" not in got["markdown"].split()
+    assert extract("", Options(selectors=()))["fallback_reason"] == "no-selectors+empty-body"
+
+
 class Failing:
     name, api_version = "failing", 1
 
