@@ -17,14 +17,18 @@ URL_SQL = "'https://' || site || CASE WHEN pathname = '/' THEN '/' ELSE pathname
 MD_SQL = "CASE WHEN pathname = '/' THEN '/index.md' ELSE pathname || '.md' END"
 
 
-def _titled(spark, sf):
-    """First page of each path with its title, by native expressions alone."""
-    rows = records.first_wins(inputs.page_rows(spark, sf), ["site", "pathname"], "page_ord")
+def _titled(spark, sf, *more):
+    """First page of each path with its title, by native expressions alone.
+
+    The title is taken before the pages are ranked, so whole pages are not moved
+    unless ``more`` asks for them.
+    """
+    rows = inputs.page_rows(spark, sf).select("site", "pathname", "page_ord", records.native_title(F.col("html")).alias("title"), *more)
+    rows = records.first_wins(rows, ["site", "pathname"], "page_ord")
     origin = F.concat(F.lit("https://"), "site")
     return rows.select(
-        "site", "pathname", "page_ord", records.native_title(F.col("html")).alias("title"),
-        paths.absolute_url(origin, "", F.col("pathname")).alias("url"), paths.md_href(F.col("pathname")).alias("md_href"),
-        F.lit("").alias("description"), F.array().cast("array<string>").alias("opt_out_tokens"), F.lit(None).cast("string").alias("modified"), "html",
+        "site", "pathname", "page_ord", "title", paths.absolute_url(origin, "", F.col("pathname")).alias("url"), paths.md_href(F.col("pathname")).alias("md_href"),
+        F.lit("").alias("description"), F.array().cast("array<string>").alias("opt_out_tokens"), F.lit(None).cast("string").alias("modified"), *more,
     )
 
 
@@ -44,7 +48,7 @@ def _full(mode):
         rows = rows.select("site", "page_ord", "title", "url", "description", "html")
         return records.with_content(rows, site).withColumn("markdown", F.col("content")["markdown"])
 
-    return lambda spark, sf: corpus.full_corpus(_titled(spark, sf), site, content=content)
+    return lambda spark, sf: corpus.full_corpus(_titled(spark, sf, "html"), site, content=content)
 
 
 def refused_sites(spark, sf):
@@ -169,14 +173,6 @@ QUERIES = {
 B = inputs.BASE
 
 
-def _full_sql(where: str) -> str:
-    return B + f""", home AS (SELECT site, max(CASE WHEN pathname = '/' THEN title END) AS home FROM firsts GROUP BY site),
-sel AS (SELECT * FROM firsts {where})
-SELECT h.site, '# ' || coalesce(nullif(home, ''), h.site) || chr(10) || chr(10) || '---' || chr(10) ||
-  coalesce(chr(10) || string_agg('# ' || s.title || chr(10) || chr(10) || 'URL: https://' || s.site || CASE WHEN s.pathname = '/' THEN '/' ELSE s.pathname || '/' END || chr(10) || chr(10) || left(s.html, 200) || chr(10) || chr(10) || '---' || chr(10), chr(10) ORDER BY s.page_id), '') AS body
-FROM home h LEFT JOIN sel s ON h.site = s.site GROUP BY h.site, home"""
-
-
 AUDIT_SQL = B + r""", a AS (
   SELECT *, page_id % 4 = 0 AS social, page_id % 90 AS tl, (page_id % 6 = 0)::INT + (page_id % 13 = 0)::INT AS alts FROM base
   WHERE page_id % 11 <> 0 AND page_id % 7 NOT IN (1, 3) AND page_id % 5 NOT IN (0, 1)),
@@ -198,9 +194,6 @@ blocks AS (SELECT site, section, {RANK_SQL} AS rank, '## ' || section || chr(10)
 home AS (SELECT site, max(CASE WHEN pathname = '/' THEN title END) AS home FROM firsts GROUP BY site)
 SELECT b.site, '# ' || coalesce(nullif(home, ''), b.site) || chr(10) || chr(10) || string_agg(block, chr(10) ORDER BY rank) AS body FROM blocks b JOIN home USING (site) GROUP BY b.site, home""",
     "section_counts": B + f"SELECT site, {SECTION_SQL} AS section, count(*) AS n FROM firsts GROUP BY ALL",
-    "llms_full_all": _full_sql(""),
-    "llms_full_index": _full_sql("WHERE pathname = '/'"),
-    "llms_full_first_page": _full_sql("QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_id) = 1"),
     "refused_sites": B + "SELECT site, count(*) AS n_pages FROM firsts GROUP BY site HAVING count(*) > 2",
     "path_functions": B + f"""SELECT page_id, site, pathname, {MD_SQL} AS md_pathname, '/base' || {MD_SQL} AS md_href, pathname AS back,
   CASE WHEN pathname = '/' THEN '/' ELSE pathname || '/' END AS with_slash, pathname AS no_slash,
@@ -231,7 +224,7 @@ FROM (SELECT site, count(*) FILTER (page_id % 11 <> 0 AND page_id % 7 NOT IN (1,
     "missing_alt": r"""SELECT page_id, len(list_filter(regexp_extract_all(replace(html, '<h1>', '<img src=a alt=''''><img src=''>'' data-alt="x"><IMG><h1>'), '(?i)<img\b(?:"[^"]*"|''[^'']*''|[^>"''])*>'), lambda x: NOT regexp_matches(x, '(?i)(^|\s)alt\s*='))) AS n FROM pages""",
     "markdown_documents": B + f"""SELECT site, pathname, '---' || chr(10) || 'title: "\\"' || replace(replace(title, '\\', '\\\\'), '"', '\\"') || '\\\\"' || chr(10) || 'url: ' || {URL_SQL} || chr(10) ||
   CASE WHEN page_id % 2 = 0 THEN 'lastModified: 2024-05-06' || chr(10) ELSE '' END || '---' || chr(10) || chr(10) || title || chr(10) AS body FROM firsts""",
-    "text_functions": r"""WITH d AS (SELECT doc_id, source, left(text, 60) || ' <a href="x">&amp;''|\</a>' || chr(10) || doc_id AS t FROM documents)
+    "text_functions": r"""WITH d AS (SELECT doc_id, source, text || ' <a href="x">&amp;''|\</a>' || chr(10) || doc_id AS t FROM documents)
 SELECT doc_id, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml,
   replace(replace(replace(replace(t, '&', '&amp;'), '"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS attribute, replace(replace(replace(t, '\', '\\'), '|', '\|'), chr(10), ' ') AS cell,
   replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '&lt;', '<'), '&gt;', '>').replace('&amp;', '&') AS back,

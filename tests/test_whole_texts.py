@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 import pytest
 
 from sitegrain.config import Site
 from sitegrain.functions.html import markdown
 from sitegrain.plans import registry
-from tests.compare import differences
 
 HTML = "<html><head><title>{0}</title></head><body><main><h1>{0}</h1>{1}</main></body></html>"
 HTML_TITLES = {"/b": "T0", "/": "T1"}
@@ -40,9 +37,3 @@ def test_text_functions_read_past_the_60th_character(spark, tmp_path):
     assert got[0].cell.startswith("x" * 80 + " & < \\| \\\\   end <a")
     assert got[0].quoted.startswith('"' + "x" * 80 + " & < | \\\\ \\n end <a")
     assert got[1].back.startswith("y" * 60 + "&amp; <a")
-
-
-def test_text_functions_agree_with_sql_over_whole_texts(spark):
-    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-    whole = registry.ORACLE_SQL["text_functions"].replace("left(text, 60)", "text")
-    assert differences(spark, folder, registry.QUERIES["text_functions"], whole) == ""
