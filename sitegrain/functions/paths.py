@@ -171,6 +171,11 @@ def is_unsafe_protocol(text: Column) -> Column:
     return (scheme != "") & ~scheme.isin("http", "https", "mailto", "tel")
 
 
+def same_path(one: Column, two: Column) -> Column:
+    """Whether two paths are one when normalised; a missing one equals nothing."""
+    return F.coalesce(normalize_path(one) == normalize_path(two), F.lit(False))
+
+
 def without_fragment(url: Column) -> Column:
     return F.regexp_replace(url, r"(?s)#.*\z", "")
 

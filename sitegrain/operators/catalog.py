@@ -36,10 +36,13 @@ def merge(concrete: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def without_owned(descriptors: DataFrame, owned: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(descriptors left, findings): rows at an artifact's path are dropped and reported."""
-    small = F.broadcast(owned)
-    left = descriptors.join(small, "pathname", "left_anti")
-    gone = descriptors.join(small, "pathname", "left_semi")
+    """(descriptors left, findings): rows at an artifact's path are dropped and reported.
+
+    ``owned`` has ``pathname``, and ``site`` where a path is owned at one site alone.
+    """
+    keys = [c for c in ("site", "pathname") if c in owned.columns]
+    left = descriptors.join(owned, keys, "left_anti")
+    gone = descriptors.join(owned, keys, "left_semi")
     return left, gone.select("site", F.lit("catalog").alias("producer"), F.lit("catalog-path-owned").alias("code"), F.lit("warning").alias("severity"), "pathname")
 
 

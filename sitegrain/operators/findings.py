@@ -26,8 +26,23 @@ def _rules(df: DataFrame, rules: Sequence[tuple[Column, str, str]], producer: st
     return df.select("site", "pathname", F.explode(hits).alias("f")).select("site", F.lit(producer).alias("producer"), "f.code", "f.severity", "pathname")
 
 
+def utf16_length(value: Column) -> Column:
+    """Length in UTF-16 units: characters beyond U+FFFF, four bytes in UTF-8, count twice."""
+    return F.length(value) + F.length(F.regexp_replace(value, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
 def _outside(value: Column, lo: int, hi: int) -> Column:
-    return ~F.length(value).between(lo, hi)
+    return ~utf16_length(value).between(lo, hi)
+
+
+def build_audit(sites: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings of sites without a build (no files at all) or without a page in it.
+
+    ``files`` has (site, href) of whatever was built.
+    """
+    seen = files.groupBy("site").agg(F.max(F.lower("href").rlike(r"\.html?\z")).alias("has_page"))
+    rows = sites.select("site").distinct().join(seen, "site", "left").withColumn("pathname", F.lit("/"))
+    return _rules(rows, [(F.col("has_page").isNull(), "no-dist", "error"), (~F.col("has_page"), "no-html", "warning")])
 
 
 def audited(head: Column) -> Column:

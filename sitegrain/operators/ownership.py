@@ -107,6 +107,15 @@ def claimants(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("site", "dest", "owner_name").agg(F.count(F.lit(1)).alias("n"))
 
 
+def claim_of(requests: DataFrame, claims: DataFrame) -> DataFrame:
+    """Requests (site, path, ...) with the owner of the claim on their path, or null.
+
+    Of several claims on one path the first by ``claim_id`` answers.
+    """
+    first = claims.groupBy("site", F.col("served_key").alias("path")).agg(F.min_by("owner_name", "claim_id").alias("owner_name"))
+    return requests.join(first, ["site", "path"], "left")
+
+
 def manifest_entries(resolved: DataFrame, body: Column) -> DataFrame:
     """Entries of the manifest; emitted ones with length and entity tag."""
     done = F.col("status").isin("emit", "replaced")

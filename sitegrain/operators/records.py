@@ -42,6 +42,27 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: str, last: bool = Fals
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(by))).filter("_n = 1").drop("_n")
 
 
+def with_modified(pages: DataFrame, times: DataFrame, out: str = "modified") -> DataFrame:
+    """Add ``out``: the page's own date, or else the latest that ``times`` has for its path.
+
+    ``times`` has (site, pathname, time); a text that is no timestamp counts as none.
+    Both are told by site and path, so Spark chooses how they meet.
+    """
+    latest = times.select("site", "pathname", text.iso_timestamp(F.col("time")).alias("_time")).groupBy("site", "pathname").agg(F.max("_time").alias("_time"))
+    own = text.iso_timestamp(F.col(out)) if out in pages.columns else F.lit(None).cast("string")
+    return pages.join(latest, ["site", "pathname"], "left").withColumn(out, F.coalesce(own, "_time")).drop("_time")
+
+
+def site_order(pages: DataFrame, by: str = "canonical_url", out: str = "place") -> DataFrame:
+    """Add ``out``: each row's place from 1 in its site, in the order of a locale.
+
+    Ties by the locale's rules go by code point.  A site's rows are ranked by one
+    task, as one text is made of them.
+    """
+    order = Window.partitionBy("site").orderBy(F.collate(F.col(by), "UNICODE"), F.col(by))
+    return pages.withColumn(out, F.row_number().over(order))
+
+
 def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, function) -> DataFrame:
     """Add a column that a Python function makes of each text, in Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_type

@@ -14,10 +14,10 @@ from .records import first_wins
 
 def page_set(static: DataFrame, descriptors: DataFrame, owned: DataFrame) -> DataFrame:
     """(site, pathname, title): static paths and descriptors, the last descriptor winning,
-    without the paths that artifacts own."""
+    without the paths that artifacts own, at their ``site`` or, without one, everywhere."""
     last = first_wins(descriptors, ["site", "pathname"], "row_ord", last=True)
     both = static.select("site", "pathname").distinct().join(last.select("site", "pathname", "title"), ["site", "pathname"], "full_outer")
-    return both.join(F.broadcast(owned), "pathname", "left_anti").select("site", "pathname", "title")
+    return both.join(owned, [c for c in ("site", "pathname") if c in owned.columns], "left_anti").select("site", "pathname", "title")
 
 
 def respond(requests: DataFrame, artifacts: DataFrame, mode: str = "inline") -> DataFrame:

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from sitegrain.functions import options
-from sitegrain.operators import components, runtime
+from sitegrain.operators import catalog, components, records, runtime
 
 
 def test_responses(spark):
@@ -57,3 +57,17 @@ def test_options():
     assert options.put(base, "a.e.f", 3)["a"]["e"] == {"f": 3} and "e" not in base["a"]
     assert options.merge(base, {"a": {"b": 5}, "d": [2], "z": None}) == {"a": {"b": 5, "c": 2}, "d": [2], "z": None}
     assert options.lift({"old": 1, "x": 2, "y": 3}, {"old": "new.at", "x": "y"}) == ({"old": 1, "x": 2, "y": 3, "new": {"at": 1}}, ["x"])
+
+
+def test_paths_owned_at_one_site_stay_at_others(spark):
+    rows = spark.createDataFrame([("s", "/x", 1, "a"), ("t", "/x", 2, "b")], "site string, pathname string, row_ord int, title string")
+    owned = spark.createDataFrame([("s", "/x")], "site string, pathname string")
+    assert [r.site for r in runtime.page_set(rows.select("site", "pathname"), rows, owned).collect()] == ["t"]
+    left, found = catalog.without_owned(rows, owned)
+    assert [r.site for r in left.collect()] == ["t"] and [r.code for r in found.collect()] == ["catalog-path-owned"]
+
+
+def test_site_order_is_that_of_a_locale(spark):
+    urls = ["https://e/b", "https://e/A", "https://e/a", "https://e/é", "https://e/z", "https://e/f"]
+    out = records.site_order(spark.createDataFrame([("s", u) for u in urls], "site string, canonical_url string"))
+    assert [r.canonical_url[-1] for r in out.orderBy("place").collect()] == ["a", "A", "b", "é", "f", "z"]
