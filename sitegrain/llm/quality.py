@@ -3,8 +3,10 @@
 Each rule looks at counts of a text and votes good (1), bad (-1) or abstains
 (0).  Rows are aggregated by vote pattern, of which there are at most
 ``3 ** len(RULES)``; expectation-maximisation over that bounded table estimates
-how often each rule votes each way on good and on bad documents, and the
-posterior probability of "good" replaces "passes every rule".
+the share of good documents and how often each rule, where it votes, is right on
+good and on bad ones.  Every kind of fault is in sight of two rules, whose
+agreement is what the estimates rest on.  The posterior probability of "good"
+replaces "passes every rule": a rule that often objects alone is outvoted.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, staged, word_array
+from .common import let, name, staged, unused, whole_row, word_array
 
 SYMBOLS = "#*$%&|<>"
+#: Characters that running text has few of: symbols, brackets, and marks of shouting.
+MARKS = "!?|$%&*#@^~=+<>\\/{}[]_"
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -62,13 +66,15 @@ def features(text: Column) -> Column:
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``,
     ``n_lines`` (``\\n``-split lines with a word), ``n_dup_lines`` (of those,
-    equal to an earlier one) and ``n_repeat_words`` (words in 5-word windows
-    found twice or more).  Windows are told apart by a 64-bit hash within one
-    text.
+    equal to an earlier one), ``n_repeat_words`` (words in 5-word windows found
+    twice or more), ``n_distinct`` (different words), ``n_marks`` (characters of
+    ``MARKS``) and ``n_capitals`` (words of two characters or more with a letter,
+    all in upper case).  Windows and words are told apart by a 64-bit hash within
+    one text.
     """
     body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    return let(
+    counts = let(
         F.struct(word_array(text).alias("w"), lines.alias("l"), body.alias("t")),
         lambda v: F.struct(
             F.size(v["w"]).cast("long").alias("n_words"),
@@ -76,9 +82,19 @@ def features(text: Column) -> Column:
             (F.length(v["t"]) - F.length(F.translate(v["t"], SYMBOLS, ""))).cast("long").alias("n_symbols"),
             F.size(v["l"]).cast("long").alias("n_lines"),
             (F.size(v["l"]) - F.size(F.array_distinct(v["l"]))).cast("long").alias("n_dup_lines"),
-            let(F.transform(v["w"], lambda x: F.xxhash64(x)), _repeated_words).alias("n_repeat_words"),
+            let(
+                F.transform(v["w"], lambda x: F.xxhash64(x)),
+                lambda h: F.struct(_repeated_words(h).alias("repeated"), F.size(F.array_distinct(h)).cast("long").alias("distinct")),
+            ).alias("words"),
+            (F.length(v["t"]) - F.length(F.translate(v["t"], MARKS, ""))).cast("long").alias("n_marks"),
+            F.size(F.filter(v["w"], lambda x: (F.length(x) > 1) & (x == F.upper(x)) & (x != F.lower(x)))).cast("long").alias("n_capitals"),
         ),
     )
+    plain = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_marks", "n_capitals")
+    return let(
+        counts,
+        lambda c: F.struct(*(c[k].alias(k) for k in plain), c["words"]["repeated"].alias("n_repeat_words"), c["words"]["distinct"].alias("n_distinct")),
+    )
 
 
 def base_failed(f: Column) -> Column:
@@ -98,32 +114,32 @@ RULES = {
         (f["word_chars"] >= 3 * f["n_words"]) & (f["word_chars"] <= 8 * f["n_words"]),
     ),
     "symbols": lambda f: _vote(10 * f["n_symbols"] > f["n_words"], 50 * f["n_symbols"] <= f["n_words"]),
+    "marks": lambda f: _vote(5 * f["n_marks"] > f["n_words"], 20 * f["n_marks"] <= f["n_words"]),
+    "capitals": lambda f: _vote(10 * f["n_capitals"] > 3 * f["n_words"], 20 * f["n_capitals"] <= f["n_words"]),
     "lines": lambda f: _vote(2 * f["n_dup_lines"] > f["n_lines"], (f["n_dup_lines"] == 0) & (f["n_lines"] > 1)),
     "repetition": lambda f: _vote(
         100 * f["n_repeat_words"] > MAX_REPEAT_PERCENT * f["n_words"], 50 * f["n_repeat_words"] <= f["n_words"]
     ),
+    # Different words grow with about the root of all words.
+    "distinct": lambda f: _vote(f["n_distinct"] * f["n_distinct"] < 9 * f["n_words"], f["n_distinct"] * f["n_distinct"] >= 36 * f["n_words"]),
 }
 
-
-#: What is believed of every rule before a row is seen: P(vote -1), P(vote 0) and
-#: P(vote 1) on good and on bad documents.  A rule seldom objects to a good
-#: document, and one rule sees only some of the faults there are.
-PRIOR_GOOD = (0.002, 0.398, 0.6)
-PRIOR_BAD = (0.25, 0.35, 0.4)
-#: The prior counts for so many times the rows of the class.
-PRIOR_WEIGHT = 4.0
+#: Rows of either vote that each rule is taken to have seen in each class beforehand.
+SMOOTHING = 2.0
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Prior of "good" and, per rule, P(vote | class) for votes -1, 0 and 1."""
+    """Share of good documents; per rule, P(objects | it votes) on good and on bad ones."""
 
     prior: float
-    good: tuple[tuple[float, float, float], ...]
-    bad: tuple[tuple[float, float, float], ...]
+    good: tuple[float, ...]
+    bad: tuple[float, ...]
 
     def _logs(self, j: int) -> list[float]:
-        return [math.log(g / b) for g, b in zip(self.good[j], self.bad[j], strict=True)]
+        """What the votes -1, 0 and 1 of a rule say for "good"; an abstention says nothing."""
+        g, b = self.good[j], self.bad[j]
+        return [math.log(g / b), 0.0, math.log((1 - g) / (1 - b))]
 
     def posterior(self, votes: Sequence[int]) -> float:
         z = math.log(self.prior / (1 - self.prior)) + sum(self._logs(j)[v + 1] for j, v in enumerate(votes))
@@ -137,78 +153,87 @@ class LabelModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rules: int, rounds: int = 25, odds: float = 0.5) -> LabelModel:
+def fit(patterns: Sequence[tuple[tuple[int, ...], int]], rules: int, rounds: int = 50) -> LabelModel:
     """Expectation-maximisation over (votes, count) rows.
 
-    It starts from "no rule says bad" as the belief that a document is good, and
-    each class keeps the prior of its votes with ``PRIOR_WEIGHT`` times its own
-    rows.  So the classes cannot swap, and a fault that is common in the corpus
-    does not become normal.  ``odds`` is the prior of "good" and is not fitted: a
-    clean corpus must not talk a rule out of its objection.  Without rows the
-    priors are the model.
+    It starts from the share of votes that say good as the belief in a document.
+    The share of good documents and what each rule does are estimated from the
+    rows alone, smoothed by ``SMOOTHING`` rows of either kind.  A rule is held to be
+    no worse than chance: one that objects to good documents more often than to bad
+    ones says nothing.  That, and "good" being the larger class to begin with, keeps
+    the classes from swapping.  Without rows nothing is known, and no vote counts.
     """
-    belief = [0.95 if min(votes) >= 0 else 0.05 for votes, _ in patterns]
-    model = LabelModel(odds, (PRIOR_GOOD,) * rules, (PRIOR_BAD,) * rules)
+    belief = [(1 + votes.count(1)) / (2 + votes.count(1) + votes.count(-1)) for votes, _ in patterns]
+    model = LabelModel(0.5, (0.5,) * rules, (0.5,) * rules)
     for _ in range(rounds if patterns else 0):
-        weights = [n * q for (_, n), q in zip(patterns, belief, strict=True)]
-        others = [n - w for (_, n), w in zip(patterns, weights, strict=True)]
-        sides = []
-        for rows, before in ((weights, PRIOR_GOOD), (others, PRIOR_BAD)):
-            own = max(sum(rows), 1.0)
-            table = []
-            for j in range(rules):
-                seen = [PRIOR_WEIGHT * own * p for p in before]
-                for (votes, _), w in zip(patterns, rows, strict=True):
-                    seen[votes[j] + 1] += w
-                table.append(tuple(x / sum(seen) for x in seen))
-            sides.append(tuple(table))
-        model = LabelModel(odds, *sides)
+        sides = [[n * q for (_, n), q in zip(patterns, belief, strict=True)], [n * (1 - q) for (_, n), q in zip(patterns, belief, strict=True)]]
+        tables = [
+            [
+                tuple(SMOOTHING + sum(w for (votes, _), w in zip(patterns, rows, strict=True) if votes[j] == v) for v in (-1, 1))
+                for j in range(rules)
+            ]
+            for rows in sides
+        ]
+        good, bad = ([objects / (objects + agrees) for objects, agrees in table] for table in tables)
+        for j in range(rules):
+            if good[j] > bad[j]:
+                both = [sum(x) for x in zip(tables[0][j], tables[1][j], strict=True)]
+                good[j] = bad[j] = both[0] / sum(both)
+        total = [sum(rows) + SMOOTHING for rows in sides]
+        model = LabelModel(total[0] / sum(total), tuple(good), tuple(bad))
         belief = [model.posterior(votes) for votes, _ in patterns]
     return model
 
 
-def judge(df: DataFrame, text: str = "text", out: str = "quality", threshold: float = 0.5) -> DataFrame:
+#: Counts that :func:`features` makes.
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct", "n_marks", "n_capitals")
+
+
+def judge(df: DataFrame, text: str = "text", out: str = "quality", threshold: float = 0.5, with_text: bool = True) -> DataFrame:
     """Add the struct ``out``: the counts, ``base_failed``, ``posterior``, ``kept``.
 
     The input is scanned once: rows and their counts are staged in the shared
     folder, the vote patterns are counted there, and the fitted model is applied
-    to the staged rows.  Nothing but the pattern counts (``3 ** 5`` rows at most)
+    to the staged rows.  ``with_text=False`` leaves the text out of them and of the
+    result.  Nothing but the pattern counts (``3 ** len(RULES)`` rows at most)
     reaches the driver.
 
-    Null or empty texts have no words and fail the base rule; repeated rows are
-    judged one by one; an empty table gives an empty result.  Other columns pass
-    through; one that is already called ``out`` is replaced.
+    Null or empty texts have no words and fail the base rule; a text is judged
+    whole, however long; equal counts are judged alike, repeated rows one by one;
+    an empty table gives an empty result.  Other columns pass through, whatever
+    they are called; one that is already called ``out`` is replaced.
     """
-    rows = staged(df.drop(out).withColumn(out, features(F.col(text))), "quality")
-    f = F.col(out)
+    rows = df.select(whole_row(df, out, *([] if with_text else [text])).alias("row"), features(name(text)).alias("f"))
+    rows = staged(rows, "quality")
+    f = F.col("f")
     votes = {f"v{k}": rule(f).cast("int") for k, rule in enumerate(RULES.values())}
     counted = rows.select(*(v.alias(k) for k, v in votes.items())).groupBy(*votes).count().collect()
     patterns = sorted((tuple(r[k] for k in votes), r["count"]) for r in counted)
-    model = fit(patterns, len(RULES))
-    posterior = model.posterior_column(list(votes.values()))
+    posterior = fit(patterns, len(RULES)).posterior_column(list(votes.values()))
     # A bounded CASE over constants: cheap to repeat in both fields.
-    return rows.withColumn(
-        out,
-        F.struct(
-            *(f[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")),
-            base_failed(f).alias("base_failed"),
-            posterior.alias("posterior"),
-            (~base_failed(f) & (posterior >= threshold)).alias("kept"),
-        ),
+    verdict = F.struct(
+        *(f[k].alias(k) for k in COUNTS),
+        base_failed(f).alias("base_failed"),
+        posterior.alias("posterior"),
+        (~base_failed(f) & (posterior >= threshold)).alias("kept"),
     )
+    return rows.select("row.*", verdict.alias(out))
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """Rows that :func:`judge` keeps, with the columns of ``df``."""
-    mark = "quality"
-    while mark in df.columns:
-        mark += "_"
-    return judge(df, text, mark).filter(F.col(mark)["kept"]).select(*df.columns)
+    """Rows that :func:`judge` keeps, with the columns of ``df``.
+
+    Rows without words go, as do all that fail the base rule; repeated rows all
+    stay or all go.
+    """
+    mark = unused("quality", df)
+    judged = judge(df, text, mark)
+    return judged.filter(F.col(mark)["kept"]).select(*(name(c) for c in df.columns))
 
 
 def digest(df: DataFrame) -> DataFrame:
     """One row per document: its counts and the verdict."""
     q = F.col("quality")
-    return judge(df.select("doc_id", "text").select("doc_id", "text"), "text").select(
+    return judge(df.select("doc_id", "text"), "text", with_text=False).select(
         "doc_id", *(q[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"))
     )
