@@ -46,10 +46,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def powers(n: int, which: int = 0) -> np.ndarray:
-    """The first ``n`` powers of an odd base modulo 2**64."""
+    """The first ``n`` powers of an odd base modulo 2**64; -1: of the first one's inverse."""
     have = _powers.get(which)
     if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 12), _BASES[which], dtype=U64)
+        base = _BASES[which] if which >= 0 else U64(pow(int(_BASES[0]), -1, 1 << 64))
+        steps = np.full(max(n, 1 << 12), base, dtype=U64)
         steps[0] = U64(1)
         have = np.multiply.accumulate(steps)
         if len(have) <= 1 << 20:
@@ -148,7 +149,7 @@ def run_hash(symbols: np.ndarray, width: int) -> np.ndarray:
     out, have, cur, span, rest = None, 0, symbols, 1, width
     while rest:
         if rest & 1:
-            out = cur if out is None else out[: len(cur) - 0] if False else _join(out, cur, have, span)
+            out = cur if out is None else _join(out, cur, have, span)
             have += span
         rest >>= 1
         if rest:

@@ -23,17 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-from .kernels import _BYTE64, U64, Piece, mix, pieces, run_hash, words
+from .common import content_key, discard, maybe_in, name, staged, whole_row
+from .kernels import _BYTE64, U64, Piece, mix, pieces, powers, run_hash, words
 
 _BITS = U64(26)
 _LOW = U64((1 << 26) - 1)
 #: Runs of one text that are placed at a time.
 _SPAN = 1 << 22
-_PIECE = 1 << 19
+#: Bytes whose anchors are found at a time: their 64-bit hashes stay in a core's cache.
+_PIECE = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -110,27 +111,17 @@ def _anchors(symbols: np.ndarray, bounds: np.ndarray, unit: Unit) -> tuple[np.nd
 
 def _span_hash(symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Hash of each span by sums of symbols under powers of an odd number."""
-    base = 0x9E3779B97F4A7C15
     n = len(symbols)
-    up, down = np.full(n + 1, U64(base)), np.full(n + 1, U64(pow(base, -1, 1 << 64)))
-    up[0] = down[0] = U64(1)
-    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    up, down = powers(n + 1), powers(n + 1, -1)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(symbols) * up[:-1])])
     return (sums[hi] - sums[lo]) * down[lo]
 
 
-def content_key(text: Column) -> list[Column]:
-    """128 bits that tell texts apart; null is like empty."""
-    body = F.coalesce(text, F.lit(""))
-    return [F.xxhash64(F.lit(1), body).alias("k1"), F.xxhash64(F.lit(2), body).alias("k2")]
-
-
 _ANCHOR_SCHEMA = "h long, c long, k1 long, k2 long, lo int, hi int"
 
 
-def anchor_rows(df: DataFrame, text: str, unit: Unit) -> DataFrame:
-    """Anchors of all texts; a text met again in the same task is left out."""
-    keyed = df.select(*content_key(F.col(text)), F.col(text).alias("text"))
+def anchor_rows(keyed: DataFrame, text: str, unit: Unit) -> DataFrame:
+    """Anchors of all texts (``k1``, ``k2``, ``text``); one met again in the same task is left out."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
@@ -151,11 +142,11 @@ def anchor_rows(df: DataFrame, text: str, unit: Unit) -> DataFrame:
                     ["h", "c", "k1", "k2", "lo", "hi"],
                 )
 
-    return keyed.mapInArrow(scan, _ANCHOR_SCHEMA)
+    return keyed.select("k1", "k2", text).mapInArrow(scan, _ANCHOR_SCHEMA)
 
 
 def shared_anchors(df: DataFrame, text: str, unit: Unit) -> DataFrame:
-    """Anchors that occur twice or more, with ``full`` and ``open``.
+    """Anchors that occur twice or more, with ``full`` and ``open``; a staged table.
 
     ``full``: the whole context is found again.  ``open``: the context takes part
     in resolving its anchor, as the one that asks (not full) or as the one of its
@@ -171,6 +162,7 @@ def shared_anchors(df: DataFrame, text: str, unit: Unit) -> DataFrame:
     # Written first: a join of two plain shuffles can split a frequent anchor.
     groups = staged(groups, "groups")
     shared = staged(rows.join(groups, "h"), "anchors")
+    discard(groups)
     mixed = shared.filter("not alike").drop("alike")
     who = F.struct("k1", "k2", "lo", "hi")
     kinds = mixed.groupBy("h", "c").agg(F.min(who).alias("one"), F.max(who).alias("two"))
@@ -179,38 +171,9 @@ def shared_anchors(df: DataFrame, text: str, unit: Unit) -> DataFrame:
         *mixed.columns, "full", (~F.col("full") | (F.col("one") == who)).alias("open")
     )
     alike = shared.filter("alike").drop("alike").select("*", F.lit(True).alias("full"), F.lit(False).alias("open"))
-    return alike.unionByName(marked)
-
-
-@dataclass(frozen=True)
-class Found:
-    """Rows with their own spans, and what is still open.
-
-    ``rows``: ``row`` (the input's columns), ``k1``, ``k2``, ``body`` (the text
-    where spans are still open, else null), ``spans`` (array of [lo, hi) in
-    symbols), ``size`` (symbols in the text).
-    """
-
-    rows: DataFrame
-    open: DataFrame
-
-
-_SPANS = "array<struct<lo:int,hi:int>>"
-_ASK = "array<struct<h:long,lo:int,hi:int,full:boolean,open:boolean>>"
-
-
-def gather(df: DataFrame, text: str, unit: Unit) -> DataFrame:
-    """Every row with the shared anchors of its text: the one time texts move.
-
-    Adds ``k1``, ``k2``, ``copies`` (rows with that text) and ``asks`` to a struct
-    ``row`` of the input's columns.
-    """
-    marked = shared_anchors(df, text, unit)
-    asks = marked.groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "lo", "hi", "full", "open")).alias("asks"))
-    copies = df.select(*content_key(F.col(text))).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"))
-    facts = copies.join(asks, ["k1", "k2"], "left")
-    texts = df.select(F.struct(*df.columns).alias("row"), *content_key(F.col(text)))
-    return texts.join(facts, ["k1", "k2"])
+    out = staged(alike.unionByName(marked), "marked")
+    discard(shared, kinds)
+    return out
 
 
 def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -224,42 +187,37 @@ def merge(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[first], hi[np.append(first[1:], len(lo)) - 1]
 
 
-def _span_type() -> pa.DataType:
-    return pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
-
-
-def span_array(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
-    """One list of spans per row."""
-    counts = [0, *(len(lo) for lo, _ in found)]
-    lo = np.concatenate([x for x, _ in found]) if found else np.zeros(0)
-    hi = np.concatenate([x for _, x in found]) if found else np.zeros(0)
-    values = pa.StructArray.from_arrays([pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["lo", "hi"])
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), values, type=_span_type())
+def settle(df: DataFrame, text: str, unit: Unit, resolve: Callable[[DataFrame, str, Unit], DataFrame], *but: str) -> DataFrame:
+    """(``row``, ``body``, ``spans``): columns of ``df`` except ``but``, the text, its repeated spans.
 
+    ``spans`` is an array of [lo, hi) in symbols, which may overlap and stand in no
+    order; null says that the text is copied, and so repeated as a whole.  A null
+    text has no symbols.  ``resolve`` gets the texts with open anchors (``k1``,
+    ``k2``, ``text``, ``asks``) and returns (``k1``, ``k2``, ``lo``, ``hi``) spans
+    that are found again.
 
-def settle(df: DataFrame, text: str, unit: Unit, resolve: Callable[[DataFrame, str, Unit], DataFrame]) -> DataFrame:
-    """Add ``spans``: maximal runs of repeated symbols of each text, as an array.
-
-    ``resolve`` gets the rows with open anchors (``k1``, ``k2``, ``text``,
-    ``asks``) and returns (``k1``, ``k2``, ``lo``, ``hi``) spans that are found
-    again.  A column called ``spans`` is replaced.  A null text has no symbols.
+    Texts move twice at most: those with open anchors to be resolved, and those
+    with spans to meet them.  Others stay where they are.
     """
-    df = df.drop("spans")
-    # The first job's shuffles are done with once its result is written.
-    every = staged(gather(df, text, unit), "texts")
-    openly = F.exists(F.coalesce(F.col("asks"), F.lit(None).cast(_ASK)), lambda a: a["open"])
-    source = every.filter(openly).select("k1", "k2", F.col("row")[text].alias("text"), F.filter("asks", lambda a: a["open"]).alias("asks"))
-    solved = staged(resolve(source, "text", unit), "spans")
-    solved = solved.groupBy("k1", "k2").agg(F.collect_set(F.struct("lo", "hi")).alias("more"))
-    # Rows with nothing open, or copied as a whole, need no second look: only the
-    # others meet their late spans.
-    asking = F.coalesce(F.exists("asks", lambda a: ~a["full"]), F.lit(False)) & (F.col("copies") == 1)
-    done = every.filter(~asking).select("row", "copies", "asks", F.lit(None).cast(_SPANS).alias("more"))
-    late = every.filter(asking).join(solved, ["k1", "k2"], "left").select("row", "copies", "asks", "more")
-    full = F.transform(
-        F.filter(F.coalesce(F.col("asks"), F.lit(None).cast(_ASK)), lambda a: a["full"]),
-        lambda a: F.struct(a["lo"].alias("lo"), (a["hi"] + unit.run).cast("int").alias("hi")),
-    )
+    key = ["k1", "k2"]
+    body = name(text)
+    texts = df.select(*content_key(body), body.alias("text"))
+    marked = shared_anchors(texts, "text", unit)
+    asks = marked.filter("open").groupBy(*key).agg(F.collect_set(F.struct("h", "lo", "hi", "full")).alias("asks"))
+    asks = staged(asks, "asks")
+    source = maybe_in(texts, key, asks).join(asks, key)
+    solved = staged(resolve(source, "text", unit), "solved")
+    discard(asks)
+    copies = staged(texts.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key), "copies")
+    full = marked.filter("full").select(*key, "lo", (F.col("hi") + unit.run).cast("int").alias("hi"))
+    spans = full.unionByName(solved).join(copies, key, "left_anti").groupBy(*key).agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    facts = staged(spans.unionByName(copies.withColumn("spans", F.lit(None).cast(_SPANS))), "spans")
+    discard(marked, solved, copies)
+    rows = df.select(*content_key(body), whole_row(df, *but).alias("row"), body.alias("body"))
     none = F.array().cast(_SPANS)
-    spans = F.concat(F.coalesce(full, none), F.coalesce(F.col("more"), none))
-    return done.unionByName(late).select("row.*", F.when(F.col("copies") > 1, None).otherwise(spans).alias("spans"))
+    met = maybe_in(rows, key, facts).join(facts.withColumn("found", F.lit(True)), key, "left")
+    met = met.select("row", "body", F.when(F.col("found"), F.col("spans")).otherwise(none).alias("spans"))
+    return met.unionByName(maybe_in(rows, key, facts, within=False).select("row", "body", none.alias("spans")))
+
+
+_SPANS = "array<struct<lo:int,hi:int>>"

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats
 from .common import staged
@@ -22,6 +23,9 @@ from .kernels import U64, mix, pieces, run_hash, words
 
 UNIT = repeats.Unit("words", 35, 9)
 _MIDDLE = 18
+_LOW = U64((1 << 26) - 1)
+#: Windows that are placed at a time.
+_PART = 1 << 22
 
 
 def window_rows(source: DataFrame, text: str, unit: repeats.Unit) -> DataFrame:
@@ -69,13 +73,21 @@ def window_rows(source: DataFrame, text: str, unit: repeats.Unit) -> DataFrame:
 def _around(order: np.ndarray, here: np.ndarray, unit: repeats.Unit) -> np.ndarray:
     """Start of the 18 words around the anchor of each window, inside the window."""
     width = unit.run - unit.anchor + 1
-    low = U64((1 << 26) - 1)
-    keys = (order & ~low) | (low - np.arange(len(order), dtype=U64))
-    least = keys[here]
-    for k in range(1, width):
-        np.minimum(least, keys[here + k], out=least)
-    anchor = (low - (least & low)).astype(np.int64)
-    return np.clip(anchor - (_MIDDLE - unit.anchor) // 2, here, here + unit.run - _MIDDLE)
+    out = np.empty(len(here), np.int64)
+    # Hash above, place (from the end) in 26 bits below; so a very long text is
+    # looked at by parts, of which each window has all its own.
+    for lo in range(0, len(order), _PART):
+        inside = np.flatnonzero((here >= lo) & (here < lo + _PART))
+        if not len(inside):
+            continue
+        part, at = order[lo : lo + _PART + width], here[inside] - lo
+        keys = (part & ~_LOW) | (_LOW - np.arange(len(part), dtype=U64))
+        least = keys[at]
+        for k in range(1, width):
+            np.minimum(least, keys[at + k], out=least)
+        anchor = (_LOW - (least & _LOW)).astype(np.int64)
+        out[inside] = lo + np.clip(anchor - (_MIDDLE - unit.anchor) // 2, at, at + unit.run - _MIDDLE)
+    return out
 
 
 def surviving(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -104,7 +116,7 @@ def repeated_words(df: DataFrame, text: str = "text") -> DataFrame:
     (the text itself is copied).  Spans may overlap and stand in no order;
     :func:`cut` merges them.  Null, empty and shorter texts have none.
     """
-    return repeats.settle(df, text, UNIT, resolve)
+    return repeats.settle(df, text, UNIT, resolve, "spans").select("row.*", "spans")
 
 
 _CUT = "n_words long, n_removed long, kept string"
@@ -114,23 +126,23 @@ def cut(df: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
     """Remove repeated words: adds ``n_words``, ``n_removed`` and ``kept``.
 
     ``kept`` is the other words joined by one space, or with ``hashed`` the
-    SHA-256 of that.  Columns of these names and ``spans`` are replaced.
+    SHA-256 of that, and the text is not returned.  A null or empty text has no
+    words and an empty ``kept``; texts below 35 words keep all; of texts that are
+    repeated, in rows of their own or as repeated rows, each loses every word.
+    Columns with the names of those added are replaced; all others pass through,
+    whatever they are called.  An empty table gives an empty result.
     """
-    found = repeated_words(df.drop("n_words", "n_removed", "kept"), text)
-    names = [c for c in found.columns if c != "spans" and (c != text or not hashed)]
-    rows = found.select(*names, F.col(text).alias("_body"), "spans")
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*found.select(*names).schema.fields, *T._parse_datatype_string(_CUT).fields])
+    rows = repeats.settle(df, text, UNIT, resolve, "n_words", "n_removed", "kept", *([text] if hashed else []))
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(_CUT).fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(names) + 1)
+            spans = batch.column(2)
             whole = spans.is_null().to_numpy(zero_copy_only=False)
             starts = spans.offsets.to_numpy()
             lo, hi = (spans.values.field(x).to_numpy() for x in ("lo", "hi"))
             totals, gone, kept = [], [], []
-            for piece in pieces(batch.column(len(names))):
+            for piece in pieces(batch.column(1)):
                 w = words(piece)
                 raw = bytes(piece.data)
                 for k in range(piece.hi - piece.lo):
@@ -150,11 +162,11 @@ def cut(df: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
                     gone.append(n - len(left))
                     kept.append(hashlib.sha256(out).hexdigest() if hashed else out.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                names=[*names, "n_words", "n_removed", "kept"],
+                [batch.column(0), pa.array(totals, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                names=["row", "n_words", "n_removed", "kept"],
             )
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema).select("row.*", "n_words", "n_removed", "kept")
 
 
 def digest(df: DataFrame) -> DataFrame:

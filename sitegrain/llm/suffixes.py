@@ -1,11 +1,15 @@
 """Suffix-array dedup over bytes: bounded interval expansion on a BWT.
 
-Open contexts (see :mod:`repeats`) of one anchor are put together, groups of
-contexts are joined into a text of a few MB, and the Burrows-Wheeler transform
-of that is expanded breadth first: an interval of suffixes that share a string
-is extended to the left by every byte that occurs there, so the boundaries
+Open contexts (see :mod:`repeats`) of one anchor are put together and cut back to
+what any two of them share around it; what is left short of 400 bytes holds no
+repeat.  The others are joined into a text of a few MB, and the Burrows-Wheeler
+transform of that is expanded breadth first: an interval of suffixes that share a
+string is extended to the left by every byte that occurs there, so the boundaries
 between suffixes are found by increasing common prefix.  It stops at 400;
 suffixes that no boundary parts by then share 400 bytes.
+
+Only strings of 400 bytes are removed.  What contexts share around their anchor is
+reported from ``PASSAGE`` bytes on, which tells of shorter passages that repeat.
 """
 
 from __future__ import annotations
@@ -17,20 +21,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import repeats
-from .common import staged
+from .common import discard, staged
 from .kernels import _BYTE64, mix, pieces, run_hash
 
 UNIT = repeats.Unit("bytes", 400, 64)
 #: Bytes that are transformed at a time, if a group of contexts allows.
 CHUNK = 2 << 20
-#: Contexts of an anchor up to which they are resolved in one place.
-GROUP = 128
+#: Contexts of an anchor up to which they are resolved in one place (2.3 MB).
+GROUP = 4096
+#: Bytes from which a shared stretch is reported, though it is not removed.
+PASSAGE = 250
+
 
+def suffix_array(symbols: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffix array by prefix doubling; only ties are sorted again.
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling; only ties are sorted again."""
+    With ``depth``, suffixes that share so many symbols may stand in any order.
+    """
     n = len(symbols)
     padded = np.concatenate([symbols.astype(np.int64) + 1, np.zeros(3, np.int64)])
     bits = int(padded.max()).bit_length()
@@ -50,7 +60,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         # Places of the order whose rank is not theirs alone.
         alone = first & np.append(first[1:], True)
         open_ = np.flatnonzero(~alone)
-        if not len(open_):
+        if not len(open_) or (depth is not None and step >= depth):
             return order
         at = order[open_]
         base = rank[at]
@@ -71,7 +81,7 @@ def repeated_starts(symbols: np.ndarray, separators: int, run: int) -> np.ndarra
     Symbols below ``separators`` each occur once; no run crosses them.
     """
     n = len(symbols)
-    array = suffix_array(symbols)
+    array = suffix_array(symbols, run + 1)
     last = symbols[array - 1]
     order = np.argsort(last, kind="stable")
     back = np.empty(n, np.int64)
@@ -145,27 +155,91 @@ def contexts(source: DataFrame, text: str, unit: repeats.Unit) -> DataFrame:
 _SOLVED = "k1 long, k2 long, lo int, hi int"
 
 
-def _expand(rows: DataFrame, run: int) -> DataFrame:
-    """Resolve whole groups of contexts, which stand together, by the BWT."""
+def _common(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Most leading bytes that each row (padded to one width) shares with another of its group.
 
-    def solve(held: list[tuple]) -> pa.RecordBatch:
-        unique = list({(r[1], r[2], r[3]): r for r in held}.values())
-        m = len(unique)
-        lengths = np.array([len(r[5]) for r in unique])
+    Rows are sorted; the longest common prefix is with a neighbour.  -1: it is alone.
+    """
+    raw = [rows[k, :n].tobytes() for k, n in enumerate(sizes.tolist())]
+    of = group.tolist()
+    order = np.array(sorted(range(len(of)), key=lambda k: (of[k], raw[k])))
+    one, two = order[:-1], order[1:]
+    differ = rows[one] != rows[two]
+    shared = np.where(differ.any(axis=1), differ.argmax(axis=1), rows.shape[1])
+    shared = np.minimum(shared, np.minimum(sizes[one], sizes[two]))
+    shared[group[one] != group[two]] = -1
+    best = np.full(len(of), -1)
+    best[one] = shared
+    best[two] = np.maximum(best[two], shared)
+    return best
+
+
+def cut_back(group: np.ndarray, bodies: list[bytes], unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
+    """[lo, hi) of each context beyond which it holds no repeat; empty if it is alone.
+
+    Contexts of a group have its anchor in common.  A run that two of them share
+    has its anchor at one place in it, so it reaches no further to either side of
+    the anchor than the contexts agree there.
+    """
+    m, width = len(bodies), unit.run - unit.anchor
+    lengths = np.array([len(b) for b in bodies])
+    heads = np.cumsum(lengths) - lengths
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    owner = np.repeat(np.arange(m), lengths)
+    near = mix(run_hash(_BYTE64[0][data], unit.anchor)).view(np.int64)
+    place = np.flatnonzero(near == group[owner[: len(near)]])
+    # The anchor lies in every run of its context.
+    offset = place - heads[owner[place]]
+    place = place[(offset <= width) & (offset >= lengths[owner[place]] - unit.run)]
+    at = np.zeros(m, np.int64)
+    np.maximum.at(at, owner[place], place - heads[owner[place]])
+    reach = []
+    for size, first, step in ((at, heads + at - 1, -1), (lengths - at - unit.anchor, heads + at + unit.anchor, 1)):
+        rows = np.zeros((m, width), np.uint8)
+        row = np.repeat(np.arange(m), size)
+        column = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        rows[row, column] = data[first[row] + step * column]
+        reach.append(_common(group, rows, size))
+    left, right = reach
+    return np.where(left >= 0, at - left, 0), np.where(left >= 0, at + unit.anchor + right, 0)
+
+
+def _expand(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
+    """Resolve whole groups of contexts, which stand together, by the BWT.
+
+    Spans shorter than a run are what contexts without one share.
+    """
+
+    def repeated(held: list[tuple]) -> pa.RecordBatch:
+        m = len(held)
+        lengths = np.array([len(r[5]) for r in held])
         heads = np.cumsum(lengths + 1) - lengths - 1
         symbols = np.zeros(int(lengths.sum()) + m, np.int32)
         body = np.ones(len(symbols), bool)
         tails = heads + lengths
         body[tails] = False
-        symbols[body] = np.frombuffer(b"".join(r[5] for r in unique), np.uint8).astype(np.int32) + m
+        symbols[body] = np.frombuffer(b"".join(r[5] for r in held), np.uint8).astype(np.int32) + m
         symbols[tails] = np.arange(m)
-        starts = repeated_starts(symbols, m, run)
+        starts = repeated_starts(symbols, m, unit.run)
         edge = np.diff(np.concatenate([[0], starts.view(np.int8), [0]]))
         first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         of = np.searchsorted(heads, first, side="right") - 1
-        out = [(unique[c][1], unique[c][2], unique[c][3] + a - heads[c], unique[c][3] + b - 1 - heads[c] + run) for c, a, b in zip(of.tolist(), first.tolist(), last.tolist(), strict=True) if unique[c][4]]
-        cols = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["k1", "k2", "lo", "hi"])
+        asks = np.array([r[4] for r in held])[of]
+        of, first, last = of[asks], first[asks], last[asks]
+        base = np.array([r[3] for r in held])[of] - heads[of]
+        keys = (np.array([r[k] for r in held], np.int64)[of] for k in (1, 2))
+        return pa.record_batch([*keys, (base + first).astype(np.int32), (base + last - 1 + unit.run).astype(np.int32)], ["k1", "k2", "lo", "hi"])
+
+    def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        unique = list({(r[1], r[2], r[3]): r for r in held}.values())
+        lo, hi = (x.tolist() for x in cut_back(np.array([r[0] for r in unique], np.int64), [r[5] for r in unique], unit))
+        left = [(*r[:3], r[3] + a, r[4], r[5][a:b]) for r, a, b in zip(unique, lo, hi, strict=True) if b - a >= unit.run]
+        if left:
+            yield repeated(left)
+        near = [(r[1], r[2], r[3] + a, r[3] + b) for r, a, b in zip(unique, lo, hi, strict=True) if r[4] and PASSAGE <= b - a < unit.run]
+        if near:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*near, strict=True), kinds, strict=True)], ["k1", "k2", "lo", "hi"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -173,16 +247,22 @@ def _expand(rows: DataFrame, run: int) -> DataFrame:
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= CHUNK and row[0] != held[-1][0]:
-                    yield solve(held)
+                    yield from solve(held)
                     held, size = [], 0
                 held.append(row)
                 size += len(row[5])
         if held:
-            yield solve(held)
+            yield from solve(held)
 
     return rows.repartition("h").sortWithinPartitions("h").mapInArrow(scan, _SOLVED)
 
 
+def _anchor_at(data: np.ndarray, h: int, unit: repeats.Unit) -> int:
+    """Where the anchor of hash ``h`` is in its context."""
+    near = mix(run_hash(_BYTE64[0][data], unit.anchor)[: unit.run - unit.anchor + 1]).view(np.int64)
+    return int(np.flatnonzero(near == h)[-1])
+
+
 #: Runs to a cell, level by level, where frequent anchors are resolved.
 CELLS = (32, 4, 1)
 _CELL = "c1 long, c2 long, g1 long, g2 long, who long, k1 long, k2 long, lo int, first int, last int, asks boolean"
@@ -203,8 +283,7 @@ def _cells(rows: DataFrame, unit: repeats.Unit, step: int) -> DataFrame:
             ranges = batch.column(6).to_pylist()
             for r, body in enumerate(batch.column(5)):
                 data = np.frombuffer(body.as_buffer(), np.uint8)
-                near = mix(run_hash(_BYTE64[0][data], unit.anchor)[: unit.run - unit.anchor + 1]).view(np.int64)
-                anchor = int(np.flatnonzero(near == h[r])[-1])
+                anchor = _anchor_at(data, h[r], unit)
                 for span in ranges[r]:
                     first = span["first"]
                     while first <= span["last"]:
@@ -247,6 +326,7 @@ def _leveled(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
             "k1", "k2", (F.col("lo") + F.col("first")).alias("lo"), (F.col("lo") + F.col("last") + unit.run).alias("hi")
         )
         done = yes if done is None else done.unionByName(yes)
+        discard(cells, cores, hulls)
         # A settled cell stays once, for others to be held against.
         left = alive.filter("one IS NULL OR one = who").withColumn("asks", F.col("asks") & F.col("one").isNull())
         ranges = left.groupBy("k1", "k2", "lo").agg(F.collect_set(F.struct("first", "last")).alias("ranges"), F.max("asks").alias("asks"))
@@ -254,13 +334,60 @@ def _leveled(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
     return done.distinct()
 
 
+#: Steps by which the shared stretches around very frequent anchors are measured.
+_STEP = 16
+
+
+def _reached(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
+    """What contexts of very frequent anchors share with another one, to ``_STEP`` bytes.
+
+    Leading parts of both sides are hashed and counted, so no group is gathered.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            h, k1, k2, lo = (batch.column(i).to_pylist() for i in range(4))
+            for r, body in enumerate(batch.column(4)):
+                raw = body.as_py()
+                at = _anchor_at(np.frombuffer(raw, np.uint8), h[r], unit)
+                for side, part in ((0, raw[:at][::-1]), (1, raw[at + unit.anchor :])):
+                    for n in range(0, len(part) + 1, _STEP):
+                        digest = hashlib.blake2b(b"%d %d " % (h[r], side) + part[:n], digest_size=16).digest()
+                        one, two = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
+                        for to, x in zip(out, (one, two, k1[r], k2[r], lo[r] + at, side, n), strict=True):
+                            to.append(x)
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["c1", "c2", "k1", "k2", "at", "side", "n"])
+
+    parts = rows.select("h", "k1", "k2", "lo", "body").mapInArrow(scan, "c1 long, c2 long, k1 long, k2 long, at int, side int, n int")
+    parts = staged(parts, "reached")
+    who = F.struct("k1", "k2", "at")
+    again = parts.groupBy("c1", "c2").agg(F.min(who).alias("one"), F.max(who).alias("two")).filter("one != two").select("c1", "c2")
+    reach = parts.join(again, ["c1", "c2"]).groupBy("k1", "k2", "at").agg(
+        *(F.coalesce(F.max(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1))
+    )
+    near = reach.select("k1", "k2", (F.col("at") - F.col("n0")).alias("lo"), (F.col("at") + unit.anchor + F.col("n1")).alias("hi"))
+    near = staged(near.filter(F.col("hi") - F.col("lo") >= PASSAGE), "near")
+    discard(parts)
+    # Longer stretches may be two partners' halves: whether they repeat is decided run by run.
+    return near.withColumn("hi", F.least("hi", F.col("lo") + unit.run - 1))
+
+
 def resolve(source: DataFrame, text: str, unit: repeats.Unit) -> DataFrame:
-    """Repeated runs in the contexts of open anchors."""
+    """Repeated runs in the contexts of open anchors, and shorter stretches that are shared."""
     rows = staged(contexts(source, text, unit), "contexts")
     many = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > GROUP).select("h")
     many = staged(many, "frequent")
-    few = rows.join(many, "h", "left_anti").select(*rows.columns)
-    return _expand(few, unit.run).unionByName(_leveled(rows.join(many, "h", "left_semi").select(*rows.columns), unit))
+    few = staged(_expand(rows.join(many, "h", "left_anti").select(*rows.columns), unit), "expanded")
+    if many.isEmpty():
+        discard(rows, many)
+        return few
+    frequent = rows.join(many, "h", "left_semi").select(*rows.columns)
+    most = staged(_leveled(frequent, unit), "leveled")
+    near = _reached(frequent, unit)
+    discard(rows, many)
+    return few.unionByName(most).unionByName(near)
 
 
 def repeated_bytes(df: DataFrame, text: str = "text") -> DataFrame:
@@ -270,56 +397,71 @@ def repeated_bytes(df: DataFrame, text: str = "text") -> DataFrame:
     (the text itself is copied).  Spans may overlap and stand in no order;
     :func:`cut` merges them.  Null, empty and shorter texts have none.
     """
-    return repeats.settle(df, text, UNIT, resolve)
+    spans = F.filter("spans", lambda x: x["hi"] - x["lo"] >= UNIT.run)
+    return repeats.settle(df, text, UNIT, resolve, "spans").select("row.*", spans.alias("spans"))
 
 
-_CUT = "n_bytes long, n_removed long, n_spans long, kept binary"
+_CUT = "n_bytes long, n_removed long, n_spans long, longest_shared long, kept binary"
+_ADDED = ("n_bytes", "n_removed", "n_spans", "longest_shared", "kept")
 
 
 def cut(df: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
-    """Remove repeated bytes: adds ``n_bytes``, ``n_removed``, ``n_spans``, ``kept``.
+    """Remove repeated bytes: adds ``n_bytes``, ``n_removed``, ``n_spans``, ``longest_shared``, ``kept``.
 
     ``kept`` is the other bytes one after another: a removed run may split a
     character, so they are binary.  With ``hashed`` it is their SHA-256 in hex and
-    the text is not returned.  Columns of these names and ``spans`` are replaced.
+    the text is not returned.  ``longest_shared`` is the longest removed run, or
+    else the longest stretch of ``PASSAGE`` bytes or more that is seen to stand
+    elsewhere too: around an anchor of the text, to either side as far as any
+    other text agrees (to 16 bytes for an anchor of more than ``GROUP`` contexts).
+    It is 0 if there is none; a passage below 400 bytes without an anchor is not
+    seen.
+
+    A null or empty text has no bytes and an empty ``kept``; texts below 400 bytes
+    keep all; of texts that are repeated, in rows of their own or as repeated rows,
+    each loses every byte.  Columns with the names of those added are replaced; all
+    others pass through, whatever they are called.  An empty table gives an empty
+    result.
     """
-    from pyspark.sql import types as T
-
-    found = repeated_bytes(df.drop("n_bytes", "n_removed", "n_spans", "kept"), text)
-    names = [c for c in found.columns if c != "spans" and (c != text or not hashed)]
-    rows = found.select(*names, F.col(text).alias("_body"), "spans")
+    rows = repeats.settle(df, text, UNIT, resolve, *_ADDED, *([text] if hashed else []))
     kind = _CUT.replace("binary", "string") if hashed else _CUT
-    schema = T.StructType([*found.select(*names).schema.fields, *T._parse_datatype_string(kind).fields])
+    schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(kind).fields])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(names) + 1)
+            spans = batch.column(2)
             whole = spans.is_null().to_numpy(zero_copy_only=False)
             starts = spans.offsets.to_numpy()
             lo, hi = (spans.values.field(x).to_numpy() for x in ("lo", "hi"))
-            totals, gone, runs, kept = [], [], [], []
-            for piece in pieces(batch.column(len(names))):
+            totals, gone, runs, longest, kept = [], [], [], [], []
+            for piece in pieces(batch.column(1)):
                 raw = bytes(piece.data)
                 for k in range(piece.hi - piece.lo):
                     r = piece.lo + k
                     body = raw[piece.offsets[k] : piece.offsets[k + 1]]
+                    n = len(body)
                     if whole[r]:
-                        a, b = ([0], [len(body)]) if len(body) >= UNIT.run else ([], [])
+                        a, b = ([0], [n]) if n >= UNIT.run else ([], [])
+                        most = n if n >= PASSAGE else 0
                     else:
-                        a, b = (x.tolist() for x in repeats.merge(lo[starts[r] : starts[r + 1]], hi[starts[r] : starts[r + 1]]))
-                    left = b"".join(body[x:y] for x, y in zip([0, *b], [*a, len(body)], strict=True))
-                    totals.append(len(body))
-                    gone.append(len(body) - len(left))
+                        x, y = lo[starts[r] : starts[r + 1]], hi[starts[r] : starts[r + 1]]
+                        long = y - x >= UNIT.run
+                        a, b = (z.tolist() for z in repeats.merge(x[long], y[long]))
+                        most = max((q - p for p, q in zip(a, b, strict=True)), default=int((y - x).max(initial=0)))
+                    left = b"".join(body[x:y] for x, y in zip([0, *b], [*a, n], strict=True))
+                    totals.append(n)
+                    gone.append(n - len(left))
                     runs.append(len(a))
+                    longest.append(most)
                     kept.append(hashlib.sha256(left).hexdigest() if hashed else left)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(names)], *(pa.array(x, pa.int64()) for x in (totals, gone, runs)), pa.array(kept, pa.string() if hashed else pa.binary())],
-                names=[*names, "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column(0), *(pa.array(x, pa.int64()) for x in (totals, gone, runs, longest)), pa.array(kept, pa.string() if hashed else pa.binary())],
+                names=["row", *_ADDED],
             )
 
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(scan, schema).select("row.*", *_ADDED)
 
 
 def digest(df: DataFrame) -> DataFrame:
-    """One row per document: bytes, bytes removed, removed runs, SHA-256 of the rest."""
-    return cut(df.select("doc_id", "text"), hashed=True).select("doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+    """One row per document: bytes, bytes removed, removed runs, longest shared stretch, SHA-256 of the rest."""
+    return cut(df.select("doc_id", "text"), hashed=True).withColumnRenamed("kept", "kept_sha256")
