@@ -6,8 +6,8 @@ touch every pair, so the product is cut into blocks:
 
 1. Documents with equal sets are one row (a class).  A set that links with another
    has all but ``1 - t`` of its shingles in some other set, so sets that have fewer
-   are out: first told by a fixed part of all shingles, then, for the sets left, by
-   all.  The lone shingles of unlike texts are most of the matrix, and go here.
+   are out: told by a fixed part of all shingles, then, for the sets left, by a
+   larger one.  The lone shingles of unlike texts are most of the matrix, and go here.
 2. Two sets of similarity ``t`` differ in at most ``(1 - t) / (1 + t)`` of their
    joint size.  Shingles are dealt by hash into one part more than that (and a
    few to make up for empty parts), so linked sets agree in a whole part that is
@@ -204,6 +204,16 @@ def spread(own: np.ndarray, share: float, threshold: float) -> tuple[np.ndarray,
     return inside, max(len(inside) - differ, 0)
 
 
+def shares_of(threshold: float) -> tuple[float, float]:
+    """Parts of all shingles by which sets are told to share too little.
+
+    A first one of half as many again as may differ; then twice that, for the sets
+    left, or all shingles where that is most of them.
+    """
+    differ = 1 - threshold
+    return 1.5 * differ, 3 * differ if 3 * differ < 0.5 else 1.0
+
+
 def _shared_enough(df: DataFrame, text: str, width: int, threshold: float, share: float) -> DataFrame:
     """``s1`` of the sets that have enough shingles with others; a staged table."""
     rows, shared = _met(df, text, width, lambda own: spread(own, share, threshold))
@@ -425,7 +435,7 @@ def _multiplied(df: DataFrame, text: str, rid: str, width: int, threshold: float
     # Sets are told apart by half of their hash until blocks are known: two sets
     # that agree in it would share a block, no more.
     texts = df
-    for share in (1.5 * (1 - threshold), 1.0):
+    for share in shares_of(threshold):
         enough = _shared_enough(texts, "text", width, threshold, share)
         before, texts = texts, staged(_texts_of(texts, classes.join(enough, "s1", "left_semi")), "enough")
         discard(before, enough)
