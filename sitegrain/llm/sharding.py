@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from . import common
+from .common import maybe_in, name, staged, whole_row
 
 #: What a row counts for besides its text, in bytes.
 ROW_BYTES = 16
@@ -23,6 +24,24 @@ def text_bytes(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Add ``copy``: 0, or for rows that are alike in ``h1`` and ``h2`` 0, 1, 2, ...
+
+    Rows that are alike are counted before they meet, one of them is kept per
+    task, and the count makes the copies again; so any number of them is dealt to
+    as many buckets, and it makes no difference which of them was where.
+    """
+    key = ["h1", "h2"]
+    alike = common.staged(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "alike")
+    zero = F.lit(0).cast("long").alias("copy")
+    alone = maybe_in(rows, key, alike, within=False).select("*", zero)
+    others = maybe_in(rows, key, alike)
+    once = others.join(alike.select(*key), key, "left_anti").select(*rows.columns, zero)
+    one = others.join(alike.select(*key), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+    again = one.join(alike, key).select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    return alone.unionByName(once).unionByName(again)
+
+
 def shuffle_to_shards(
     df: DataFrame,
     shards: int,
@@ -38,40 +57,37 @@ def shuffle_to_shards(
     row counts differ by one at most.  A bucket holds about ``bucket_bytes`` (by
     the column ``size``, where given) and ``bucket_rows`` at most on average.
 
-    ``key`` names the columns whose hash scatters a row; rows that agree in all
-    of them, repeated rows for example, are told apart by their place in the
-    bucket alone.  Nulls hash like any value, an empty table gives an empty
-    result, and the same rows and seed give the same shards, however they are
-    laid out in files.  Columns called ``shard`` or ``slot`` are replaced.
+    Rows are scattered by a hash of the ``key`` columns and of all others, so rows
+    that agree in the key are spread; repeated rows are numbered and spread too.
+    Nulls hash like any value, an empty table gives an empty result, and the same
+    rows and seed give the same shards, however they are laid out in files.
+    Columns called ``shard`` or ``slot`` are replaced; all others pass through,
+    whatever they are called.
     """
-    df = df.drop("shard", "slot")
-    totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b") if size else F.lit(0).alias("b")).first()
+    totals = df.agg(F.count(F.lit(1)).alias("n"), F.sum(name(size)).alias("b") if size else F.lit(0).alias("b")).first()
     rows = totals["n"] or 0
     buckets = max(1, -(-rows // bucket_rows), -(-(totals["b"] or 0) // bucket_bytes))
-    # Pass one.  The second hash orders a bucket, so that the permutation does
-    # not depend on the order in which rows arrive.
-    scattered = df.select(
-        F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)).alias("bucket"),
-        F.struct(
-            F.xxhash64(F.lit(seed + 1), *key).alias("mark"), F.to_json(F.struct(*key)).alias("tie"), F.struct("*").alias("row")
-        ).alias("item"),
+    row = whole_row(df, "shard", "slot")
+    hashed = _spread(df.select(row.alias("row"), *(F.xxhash64(F.lit(seed + k), *(name(c) for c in key), row).alias(f"h{k}") for k in (1, 2))))
+    # Pass one.  The hashes order a bucket too, so that the permutation does not
+    # depend on the order in which rows arrive.
+    scattered = hashed.select(
+        F.pmod(F.xxhash64(F.lit(seed), "h1", "copy"), F.lit(buckets)).alias("bucket"), F.struct("h1", "h2", "copy", "row").alias("item")
     )
     # Pass two.  ``shuffle`` seeds its generator by partition and draws on from
     # bucket to bucket, so partitions and the order within them are fixed.
     width = max(1, min(buckets, 1 << 15))
+
+    def by_hash(a: Column, b: Column) -> Column:
+        order = F.lit(0)
+        for k in ("copy", "h2", "h1"):
+            order = F.when(a[k] < b[k], -1).when(a[k] > b[k], 1).otherwise(order)
+        return order
+
     packed = (
         scattered.repartition(width, "bucket")
         .groupBy("bucket")
-        .agg(
-            F.array_sort(
-                F.collect_list("item"),
-                lambda a, b: F.when(a["mark"] < b["mark"], -1)
-                .when(a["mark"] > b["mark"], 1)
-                .when(a["tie"] < b["tie"], -1)
-                .when(a["tie"] > b["tie"], 1)
-                .otherwise(0),
-            ).alias("items")
-        )
+        .agg(F.array_sort(F.collect_list("item"), by_hash).alias("items"))
         .sortWithinPartitions("bucket")
         .select("bucket", F.size("items").alias("held"), F.shuffle(F.col("items"), F.lit(seed)).alias("items"))
     )
@@ -102,21 +118,21 @@ def _laid_out(packed: DataFrame, rows: int, shards: int) -> DataFrame:
     # The first rows % shards shards hold one row more.
     small, more = divmod(rows, shards)
     edge = more * (small + 1)
-    return placed.select(place.alias("place"), "item.row.*").select(
-        "*",
-        F.when(F.col("place") < edge, F.floor(F.col("place") / (small + 1)))
-        .otherwise(more + F.floor((F.col("place") - edge) / max(small, 1)))
-        .cast("int")
-        .alias("shard"),
-        F.when(F.col("place") < edge, F.col("place") % (small + 1))
-        .otherwise((F.col("place") - edge) % max(small, 1))
-        .cast("long")
-        .alias("slot"),
-    ).drop("place")
+    at = F.col("place")
+    return placed.select(place.alias("place"), F.col("item")["row"].alias("row")).select(
+        "row.*",
+        F.when(at < edge, F.floor(at / (small + 1))).otherwise(more + F.floor((at - edge) / max(small, 1))).cast("int").alias("shard"),
+        F.when(at < edge, at % (small + 1)).otherwise((at - edge) % max(small, 1)).cast("long").alias("slot"),
+    )
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """Write the rows as Parquet under ``path/shard=k``, each shard in slot order."""
+    """Write the rows as Parquet under ``path/shard=k``, each shard in slot order.
+
+    A shard is one file, written by one task that streams it; ``shards`` is to be
+    chosen so that a shard is as large as a file should be.  Nulls and repeated
+    rows are written as they are; an empty table writes no shard.
+    """
     sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
