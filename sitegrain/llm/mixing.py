@@ -4,22 +4,27 @@ Documents are aggregated by the set of sources they belong to (their membership
 pattern).  A small network routes the token capacity of each pattern to the
 quotas of its sources; using a pattern's tokens a further time costs more, so
 the cost of repetition is convex.  The flow says how many tokens each pattern
-gives in each pass; documents are then selected by a seeded hash.
+gives; whole passes take every document, and of the one that is not whole
+documents are selected by a seeded hash.  What the selection comes to is a few
+ranges of the hash per pattern, so rows are never moved.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged, word_count
+from .common import discard, name, staged, unused, whole_row, word_count
 
-#: Patterns and sources that the flow takes: it runs on the driver.
-MAX_PATTERNS = 10_000
+#: Patterns up to which their facts are broadcast (some 100 bytes each).
+BROADCAST_PATTERNS = 50_000
+#: Passes over what is left of a need, each with documents that still fit.
+FILLS = 8
 WEIGHTS = (5, 2, 1)
 
 
@@ -40,7 +45,8 @@ def water_fill(sizes: Sequence[float], weights: Sequence[float], total: float, c
         for k in over:
             targets[k] = float(cap * sizes[k])
         left -= sum(targets[k] for k in over)
-        free = [k for k in free if k not in set(over)]
+        gone = set(over)
+        free = [k for k in free if k not in gone]
     return targets
 
 
@@ -105,44 +111,83 @@ def min_cost_flow(
     return {p: [room[e ^ 1] for e in edges] for p, edges in first.items()}
 
 
-def _select(rows: DataFrame, need: Mapping[str, float], size: str, seed: int, cells: int = 4096) -> Column | DataFrame:
-    """Mark seeded documents of each pattern whose sizes add up to ``need``.
+def separate(member: Mapping[str, Sequence[int]], sources: int) -> list[tuple[list[str], list[int]]]:
+    """(patterns, sources) that share a source directly or through others.
 
-    A document's hash puts it into one of ``cells`` cells; cell sums tell up to
-    which cell whole cells are taken, and only the one cell in which the need
-    ends is looked at document by document.
+    Nothing flows between such parts, so each is a network of its own.
     """
-    spark = rows.sparkSession
-    wanted = spark.createDataFrame([(k, float(v)) for k, v in need.items()], "pattern string, need double")
-    hashed = rows.withColumn("h", F.xxhash64(F.lit(seed), "row_key")).withColumn("cell", F.pmod("h", F.lit(cells)))
-    sums = hashed.groupBy("pattern", "cell").agg(F.sum(size).alias("held"))
-    order = Window.partitionBy("pattern").orderBy("cell")
-    reached = (
-        sums.withColumn("before", F.sum("held").over(order) - F.col("held"))
-        .join(F.broadcast(wanted), "pattern")
-        .filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("held") >= F.col("need")))
-        .groupBy("pattern")
-        .agg(F.min("cell").alias("last"), F.min_by("before", "cell").alias("base"), F.first("need").alias("need"))
-    )
-    bounds = {r["pattern"]: (r["last"], float(r["base"]), r["need"]) for r in reached.collect()}
-    # A pattern that never reaches its need (all of it is wanted) is taken whole.
-    limits = [(p, *bounds.get(p, (cells if v > 0 else -1, 0.0, float(v)))) for p, v in need.items()]
-    table = spark.createDataFrame(limits, "pattern string, last long, base double, need double")
-    joined = hashed.join(F.broadcast(table), "pattern")
-    edge = joined.filter(F.col("cell") == F.col("last"))
-    run = Window.partitionBy("pattern").orderBy("h", "row_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # The document that crosses the need is taken if that lands closer to it.
-    edge = edge.withColumn("start", F.col("base") + F.sum(size).over(run) - F.col(size)).withColumn(
-        "picked", (F.col("start") + F.col(size) / 2 <= F.col("need")) & (F.col("start") < F.col("need"))
-    )
-    return joined.filter(F.col("cell") != F.col("last")).withColumn("picked", F.col("cell") < F.col("last")).unionByName(
-        edge.drop("start"), allowMissingColumns=True
-    ).drop("h", "cell", "last", "base", "need")
+    up = list(range(sources))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for of in member.values():
+        for s in of[1:]:
+            up[top(s)] = top(of[0])
+    parts: dict[int, tuple[list[str], list[int]]] = {top(s): ([], []) for s in range(sources)}
+    for s in range(sources):
+        parts[top(s)][1].append(s)
+    for p, of in member.items():
+        parts[top(of[0])][0].append(p)
+    return list(parts.values())
+
+
+def _ranges(slim: DataFrame, need: Mapping[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """(least hash, most hash, most size) of the documents that fill each need.
+
+    In order of their hash, documents are taken while they fit.  Those after the
+    one that did not, and smaller than what is left, are tried next, ``FILLS``
+    times or until a thousandth is left.  Cells of the hash tell where a need
+    ends; documents are looked at one by one in that cell alone.
+    """
+    spark = slim.sparkSession
+    found: dict[str, list[tuple[int, int, int]]] = {p: [] for p in need}
+    open_ = {p: (-(1 << 63), v) for p, v in need.items() if v > 0}
+    for _ in range(FILLS):
+        if not open_:
+            break
+        table = spark.createDataFrame([(p, lo, left) for p, (lo, left) in open_.items()], "pattern string, lo long, left long")
+        small = F.broadcast if len(need) <= BROADCAST_PATTERNS else lambda t: t
+        fits = slim.join(small(table), "pattern").filter("h >= lo AND size > 0 AND size <= left").withColumn("cell", F.shiftright("h", 52))
+        sums = fits.groupBy("pattern", "cell", "left").agg(F.sum("size").alias("held"), F.max("h").alias("last"))
+        sums = sums.withColumn("run", F.sum("held").over(Window.partitionBy("pattern").orderBy("cell")))
+        whole = F.col("run") <= F.col("left")
+        ends = sums.groupBy("pattern", "left").agg(
+            F.max(F.when(whole, F.col("last"))).alias("last"),
+            F.coalesce(F.max(F.when(whole, F.col("run"))), F.lit(0)).alias("base"),
+            F.min(F.when(~whole, F.col("cell"))).alias("cell"),
+        ).collect()
+        edges = spark.createDataFrame([(r["pattern"], r["cell"], r["base"]) for r in ends if r["cell"] is not None], "pattern string, cell long, base long")
+        inside = fits.join(small(edges), ["pattern", "cell"])
+        # Equal hashes (repeated rows) count together, so they are taken together.
+        inside = inside.withColumn("run", F.col("base") + F.sum("size").over(Window.partitionBy("pattern").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        whole = F.col("run") <= F.col("left")
+        last = {
+            r["pattern"]: r
+            for r in inside.groupBy("pattern").agg(F.max(F.when(whole, F.col("h"))).alias("last"), F.max(F.when(whole, F.col("run"))).alias("run"), F.min("h").alias("first")).collect()
+        }
+        after = {}
+        for r in ends:
+            p = r["pattern"]
+            lo, left = open_[p]
+            edge = last.get(p)
+            hi, taken = (edge["last"], edge["run"]) if edge and edge["last"] is not None else (r["last"], r["base"])
+            if hi is not None:
+                found[p].append((lo, hi, left))
+            else:
+                hi = edge["first"]  # copies that fit one by one, but not together
+            if edge and left - taken > need[p] / 1000 and hi < (1 << 63) - 1:
+                after[p] = (hi + 1, left - taken)
+        open_ = after
+    return found
 
 
 def mix(
     df: DataFrame,
-    size: str,
+    size: str | Column,
     sources: str = "source",
     weights: Sequence[int] = WEIGHTS,
     scale: float = 1.5,
@@ -151,83 +196,74 @@ def mix(
 ) -> DataFrame:
     """Add ``copies``, ``taken``, ``source_size`` and ``target`` to every row.
 
-    ``sources`` holds a string, or an array of strings where a document belongs
-    to several; null (or no) sources make a source of their own, last in order.
-    Sources in code point order have the ``weights`` in turn and share ``scale``
-    times all sizes, none above ``passes`` times its own size.  ``copies`` is how
-    often the mix takes a document (0 to ``passes``) and ``taken`` is ``copies``
-    times its size.  For a document of several sources, ``source_size`` and
-    ``target`` are the sums over them.
+    ``size`` is a column, by its name or as an expression.  ``sources`` holds a
+    string, or an array of strings where a document belongs to several; null (or
+    no) sources make a source of their own, last in order.  Sources in code point
+    order have the ``weights`` in turn and share ``scale`` times all sizes, none
+    above ``passes`` times its own size.  ``copies`` is how often the mix takes a
+    document (0 to ``passes``) and ``taken`` is ``copies`` times its size.  For a
+    document of several sources, ``source_size`` and ``target`` are the sums over
+    them.
 
     Null sizes count as 0; rows of size 0 are taken 0 times or more at no
-    effect; repeated rows are one by one but share a hash, and are selected in
-    no fixed order among themselves.  An empty table gives an empty result.
-    More than ``MAX_PATTERNS`` patterns raise ``ValueError``.
+    effect; repeated rows are taken equally often.  An empty table gives an empty
+    result.  Other columns pass through, whatever they are called; those with the
+    names of the added ones are replaced.  The driver holds a few numbers per
+    membership pattern.
     """
     own = ("copies", "taken", "source_size", "target")
-    names = [c for c in df.columns if c not in own]
     many = isinstance(df.schema[sources].dataType, T.ArrayType)
-    col = F.col(sources)
+    col = name(sources)
     listed = F.sort_array(F.array_distinct(F.coalesce(col, F.array()))) if many else F.when(col.isNull(), F.array()).otherwise(F.array(col))
-    pattern = F.to_json(F.when(F.size(listed) == 0, F.array(F.lit(None).cast("string"))).otherwise(listed))
+    pattern = F.to_json(F.when(F.size(listed) == 0, F.array(F.lit(None).cast("string"))).otherwise(listed), {"ignoreNullFields": "false"})
+    row = whole_row(df, *own)
     rows = df.select(
-        F.struct(*names).alias("row"),
-        F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"),
+        row.alias("row"),
+        F.coalesce(name(size) if isinstance(size, str) else size, F.lit(0)).cast("long").alias("size"),
         pattern.alias("pattern"),
-        F.xxhash64(*names).alias("row_key"),
+        F.xxhash64(F.lit(seed), row).alias("h"),
     )
-    sums = rows.groupBy("pattern").agg(F.sum("size").alias("held")).limit(MAX_PATTERNS + 1).collect()
-    if len(sums) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    import json
-
-    held = {r["pattern"]: r["held"] for r in sums}
+    slim = staged(rows.select("pattern", "size", "h"), "mix")
+    held = {r["pattern"]: r["held"] for r in slim.groupBy("pattern").agg(F.sum("size").alias("held")).collect()}
     lists = {p: json.loads(p) for p in held}
     order = sorted({s for x in lists.values() for s in x}, key=lambda s: (s is None, s or ""))
     at = {s: k for k, s in enumerate(order)}
+    member = {p: [at[s] for s in x] for p, x in lists.items()}
     sizes = [0] * len(order)
     for p, v in held.items():
-        for s in lists[p]:
-            sizes[at[s]] += v
+        for s in member[p]:
+            sizes[s] += v
     targets = water_fill(sizes, [weights[k % len(weights)] for k in range(len(order))], scale * sum(held.values()), passes)
-    flow = min_cost_flow(held, {p: [at[s] for s in lists[p]] for p in held}, [round(t) for t in targets], passes)
-    out, facts = rows, []
-    for p in held:
-        facts.append((p, sum(sizes[at[s]] for s in lists[p]), sum(targets[at[s]] for s in lists[p])))
-    picks = []
-    for k in range(passes):
-        # A pass that takes all or nothing of a pattern needs no selection.
-        part = {p: g[k] for p, g in flow.items() if 0 < g[k] < held[p]}
-        whole = [p for p, g in flow.items() if held[p] and g[k] >= held[p]]
-        out = out.withColumn(f"all{k}", F.col("pattern").isin(whole) if whole else F.lit(False))
-        if part:
-            chosen = _select(out.filter(F.col("pattern").isin(list(part))), part, "size", seed + k)
-            out = out.filter(~F.col("pattern").isin(list(part))).withColumn("picked", F.lit(False)).unionByName(chosen)
-        else:
-            out = out.withColumn("picked", F.lit(False))
-        out = out.withColumn(f"all{k}", F.col(f"all{k}") | F.col("picked")).drop("picked")
-        picks.append(F.col(f"all{k}").cast("int"))
-    table = df.sparkSession.createDataFrame(facts, "pattern string, source_size long, target double")
-    copies = sum(picks[1:], picks[0])
-    return out.join(F.broadcast(table), "pattern").select(
-        "row.*",
-        copies.alias("copies"),
-        (copies * F.col("size")).cast("long").alias("taken"),
-        "source_size",
-        "target",
+    flow: dict[str, int] = {}
+    for patterns, of in separate(member, len(order)):
+        local = {s: k for k, s in enumerate(of)}
+        routed = min_cost_flow(
+            {p: held[p] for p in patterns}, {p: [local[s] for s in member[p]] for p in patterns}, [round(targets[s]) for s in of], passes
+        )
+        flow |= {p: sum(x) for p, x in routed.items()}
+    base = {p: flow[p] // held[p] if held[p] else 0 for p in held}
+    ranges = _ranges(slim, {p: flow[p] - base[p] * held[p] for p in held})
+    facts = [(p, base[p], ranges[p], sum(sizes[s] for s in member[p]), float(sum(targets[s] for s in member[p]))) for p in held]
+    table = df.sparkSession.createDataFrame(
+        facts, "pattern string, base int, ranges array<struct<lo:long,hi:long,most:long>>, source_size long, target double"
     )
+    table = F.broadcast(table) if len(facts) <= BROADCAST_PATTERNS else table
+    discard(slim)
+    picked = F.exists("ranges", lambda r: (F.col("h") >= r["lo"]) & (F.col("h") <= r["hi"]) & (F.col("size") > 0) & (F.col("size") <= r["most"]))
+    placed = rows.join(table, "pattern").select("row", "size", (F.col("base") + picked.cast("int")).alias("copies"), "source_size", "target")
+    return placed.select("row.*", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source_size", "target")
 
 
 def mixed_documents(df: DataFrame, text: str = "text") -> DataFrame:
-    """Documents that the mix takes, once per copy, with the columns of ``df``."""
-    mark = "_size"
-    while mark in df.columns:
-        mark += "_"
-    sized = staged(df.withColumn(mark, word_count(F.col(text))), "mix")
-    taken = mix(sized, mark, "source")
-    return taken.filter(F.col("copies") > 0).select(
-        *df.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(mark)
-    ).select(*df.columns)
+    """Documents that the mix takes, once per copy, with the columns of ``df``.
+
+    Texts without words, null ones among them, have size 0 and come as often as
+    their source is taken whole; repeated rows are taken equally often.
+    """
+    mark = unused("_row", df)
+    taken = mix(df.select(whole_row(df).alias(mark), name("source").alias("source"), name(text).alias("text")), word_count(F.col("text")), "source")
+    each = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return taken.filter(F.col("copies") > 0).select(mark, each.alias("copy")).select(f"{mark}.*")
 
 
 def digest(df: DataFrame) -> DataFrame:
