@@ -6,23 +6,28 @@ that any run of ``U`` lies in one window and an item fills a good part of it:
 containment is then a Jaccard similarity that MinHash can see, however long the
 document is.  Signatures are one-permutation MinHash (the least hash in each of
 ``BINS`` bins); one equal bin makes a candidate, and exact shingle containment
-in the window decides.  An item so small that all its shingles are asked for has
-few bins to be seen by: any of its shingles makes a candidate.
+in the window decides.  An item of few shingles has few bins to be seen by: up to
+``SMALL`` shingles, any of them makes a candidate.
 
-The index holds the items, which are few; it is sent to the executors in blocks
-of bounded size, and documents are only ever scanned, never moved.
+The index holds the items, which are few.  One of up to ``BLOCK_BYTES`` of text is
+sent along with a single scan.  More items are taken block by block: each block's
+scan writes out which texts contain what, so there is one block at a time on the
+driver and in a worker, and only texts with a match meet their matches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .common import content_key, discard, maybe_in, name, staged, unused, whole_row
 from .kernels import U64, pieces, run_hash, words
 
 WIDTH = 5
@@ -30,6 +35,8 @@ BINS = 64
 THRESHOLD = 0.8
 #: Bytes of item text in one block of the index; more items make more blocks.
 BLOCK_BYTES = 8 << 20
+#: Shingles up to which every shingle of an item is looked up.
+SMALL = 32
 _BUCKET_BITS = 20
 
 
@@ -82,7 +89,7 @@ def build_index(items: list[tuple], threshold: float = THRESHOLD) -> Index:
             index.shingle_sets.append(shingles)
             index.widths.append(width)
             index.limits.append(_limit(len(shingles)))
-            signatures.setdefault(width, []).append((_signature(shingles), number))
+            signatures.setdefault(width, []).append((shingles if len(shingles) <= SMALL else _signature(shingles), number))
     for width, found in signatures.items():
         values = np.concatenate([s for s, _ in found])
         owners = np.concatenate([np.full(len(s), n) for s, n in found])
@@ -117,7 +124,7 @@ def search(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, di
                         continue
                     inside = runs[begin + window * step : min(begin + (window + 2) * step, end)]
                     shingles = index.shingle_sets[item]
-                    if len(shingles) - 1 >= index.threshold * len(shingles):
+                    if len(shingles) > SMALL:
                         same = inside[inside % U64(BINS) == runs[at] % U64(BINS)]
                         if same.min() != runs[at]:  # another shingle is least: this bin differs
                             continue
@@ -130,15 +137,42 @@ def search(index: Index, hashes: np.ndarray, bounds: np.ndarray) -> dict[int, di
 
 
 _MATCH = "array<struct<item_id:long,shared:long,size:long>>"
+_MATCH_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("size", pa.int64())]))
 
 
-def _blocks(items: DataFrame, item_id: str, text: str) -> list[list[tuple]]:
-    """Items in blocks of ``BLOCK_BYTES``, in no particular order."""
-    rows = items.select(F.col(item_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+def _blocks(items: DataFrame, item_id: str, text: str) -> tuple[int, Callable[[int], list[tuple]]]:
+    """How many blocks of ``BLOCK_BYTES`` the items make, and a way to get one."""
+    rows = items.select(name(item_id).cast("long").alias("id"), F.coalesce(name(text), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = 1 + total // BLOCK_BYTES
-    parts = [rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows for k in range(count)]
-    return [sorted(((r["id"], r["text"]) for r in p.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])) for p in parts]
+
+    def block(k: int) -> list[tuple]:
+        part = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
+        return sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+    return count, block
+
+
+def _matches(index: Index, texts: pa.Array) -> pa.Array:
+    """Items found in each text."""
+    rows: list[list] = [[] for _ in range(len(texts))]
+    for piece in pieces(texts):
+        w = words(piece, lower=True)
+        for row, best in search(index, w.hashes, w.bounds).items():
+            rows[piece.lo + row] = [{"item_id": index.ids[i], "shared": n, "size": len(index.shingle_sets[i])} for i, n in sorted(best.items())]
+    return pa.array(rows, _MATCH_ARROW)
+
+
+def _by_text(df: DataFrame, text: str, index: Index) -> DataFrame:
+    """(``k1``, ``k2``, ``found``) of texts that contain an item, known by their content."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _matches(index, batch.column(2))
+            some = pc.greater(pc.list_value_length(found), 0)
+            yield pa.record_batch([x.filter(some) for x in (batch.column(0), batch.column(1), found)], ["k1", "k2", "found"])
+
+    return df.select(*content_key(name(text)), name(text).alias("text")).mapInArrow(scan, f"k1 long, k2 long, found {_MATCH}")
 
 
 def find_items(
@@ -162,46 +196,39 @@ def find_items(
     by one and reported by the best of them; repeated rows are searched one by
     one.  A column called ``out`` is replaced.
     """
-    done = df.drop(out)
-    names = done.columns
-    found = []
-    for number, block in enumerate(_blocks(items, item_id, item_text)):
-        index = build_index(block, threshold)
-        name = f"_found{number}"
-        while name in names:
-            name += "_"
-
-        def scan(batches: Iterator[pa.RecordBatch], index=index, at=names.index(text), name=name) -> Iterator[pa.RecordBatch]:
-            kind = pa.list_(pa.struct([("item_id", pa.int64()), ("shared", pa.int64()), ("size", pa.int64())]))
-            for batch in batches:
-                rows: list[list] = [[] for _ in range(batch.num_rows)]
-                for piece in pieces(batch.column(at)):
-                    w = words(piece, lower=True)
-                    for row, best in search(index, w.hashes, w.bounds).items():
-                        rows[piece.lo + row] = [
-                            {"item_id": index.ids[i], "shared": n, "size": len(index.shingle_sets[i])} for i, n in sorted(best.items())
-                        ]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, name])
-
-        done = done.mapInArrow(scan, _schema(done, name))
-        names = done.columns
-        found.append(name)
-    return done.withColumn(out, F.flatten(F.array(*found)) if found else F.array().cast(_MATCH)).drop(*found)
-
+    count, block = _blocks(items, item_id, item_text)
+    rows = df.select(whole_row(df, out).alias("row"), *content_key(name(text)), name(text).alias("text"))
+    if count == 1:
+        index = build_index(block(0), threshold)
+        at = [c.lower() for c in rows.schema["row"].dataType.names].index(text.lower())
 
-def _schema(df: DataFrame, name: str):
-    from pyspark.sql import types as T
-
-    match = T.ArrayType(T.StructType([T.StructField(k, T.LongType()) for k in ("item_id", "shared", "size")]))
-    return T.StructType([*df.schema.fields, T.StructField(name, match)])
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.record_batch([batch.column(0), _matches(index, batch.column(0).field(at))], ["row", "found"])
+
+        schema = T.StructType([rows.schema["row"], T.StructField("found", T._parse_datatype_string(_MATCH))])
+        found = rows.select("row").mapInArrow(scan, schema)
+    else:
+        parts = [staged(_by_text(df, text, build_index(block(k), threshold)), "matches") for k in range(count)]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        every = staged(every.dropDuplicates(["k1", "k2", "found"]).groupBy("k1", "k2").agg(F.flatten(F.collect_list("found")).alias("found")), "matches")
+        discard(*parts)
+        none = F.array().cast(_MATCH)
+        met = maybe_in(rows, ["k1", "k2"], every).join(every, ["k1", "k2"], "left").select("row", F.coalesce("found", none).alias("found"))
+        found = met.unionByName(maybe_in(rows, ["k1", "k2"], every, within=False).select("row", none.alias("found")))
+    return found.select("row.*", F.col("found").alias(out))
 
 
 def remove_contaminated(df: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of ``df`` that contain no item, with the columns of ``df``."""
-    mark = "_matches"
-    while mark in df.columns:
-        mark += "_"
-    return find_items(df, items, text, out=mark).filter(F.size(mark) == 0).select(*df.columns)
+    """Rows of ``df`` that contain no item, with the columns of ``df``.
+
+    Null and empty texts stay; without items all rows stay; repeated rows all stay
+    or all go.
+    """
+    mark = unused("matches", df)
+    return find_items(df, items, text, out=mark).filter(F.size(mark) == 0).select(*(name(c) for c in df.columns))
 
 
 def digest(df: DataFrame, items: DataFrame) -> DataFrame:

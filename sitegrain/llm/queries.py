@@ -32,13 +32,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Upper sizes of the partitions of items, to more than any text holds.
+_LIMITS = [8]
+while _LIMITS[-1] < 1 << 40:
+    _LIMITS.append(_LIMITS[-1] + _LIMITS[-1] // 2)
+
 #: The others hash by seed, fit a model or encode, which SQL cannot express; op6
 #: is expressible but has a 400-byte string per byte, which is too slow.
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents), b AS (SELECT item_id, {_WORDS.format(_LOWER)} AS ws FROM benchmark),
 items AS (SELECT DISTINCT item_id, least(5, len(ws)) AS w, unnest(list_transform(range(1, len(ws) - least(5, len(ws)) + 2), lambda i: array_to_string(ws[i:i + least(5, len(ws)) - 1], ' '))) AS s FROM b WHERE len(ws) > 0),
-sizes AS (SELECT item_id, any_value(w) AS w, count(*) AS n, list_min(list_filter([8, 12, 18, 27, 40, 60, 90, 135, 202, 303, 454, 681, 1021], lambda x: x >= count(*))) AS step FROM items GROUP BY item_id),
+sizes AS (SELECT item_id, any_value(w) AS w, count(*) AS n, list_min(list_filter({_LIMITS}, lambda x: x >= count(*))) AS step FROM items GROUP BY item_id),
 runs AS (SELECT doc_id, w, unnest(range(0, len(ws) - w + 1)) AS pos, unnest(list_transform(range(1, len(ws) - w + 2), lambda i: array_to_string(ws[i:i + w - 1], ' '))) AS s FROM d, (SELECT DISTINCT w FROM items) WHERE len(ws) >= w),
 hits AS (SELECT r.doc_id, i.item_id, r.s, unnest([pos // step, pos // step - 1]) AS win FROM runs r JOIN items i ON r.s = i.s AND r.w = i.w JOIN sizes z ON z.item_id = i.item_id),
 best AS (SELECT doc_id, item_id, win, count(DISTINCT s) AS shared FROM hits WHERE win >= 0 GROUP BY ALL)
