@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import name, staged
 from .kernels import U64, Piece, mix, pieces, powers
 
 # White_Space below U+3000, as the split rule's \s has it.
@@ -185,7 +186,7 @@ def token_lengths(df: DataFrame, text: str = "text", vocabulary: str | None = No
             got = [n for _, _, n in encode_rows(batch.column(0), path)]
             yield pa.record_batch([pa.array(np.concatenate(got) if got else [], pa.int64())], ["length"])
 
-    return df.select(text).mapInArrow(lengths, "length long")
+    return df.select(name(text)).mapInArrow(lengths, "length long")
 
 
 def length_histogram(df: DataFrame, text: str = "text", vocabulary: str | None = None, block: int = 256) -> DataFrame:
@@ -199,11 +200,12 @@ def length_histogram(df: DataFrame, text: str = "text", vocabulary: str | None =
     are whole, the others give L each (see :func:`truncated_total`).
 
     Lengths are counted before they meet, so a frequent length is one row per
-    task.  Suffix sums run by blocks of ``block`` lengths, then over blocks.  Null
-    and empty texts have length 0; an empty table gives an empty result.
+    task, and the counts are staged: texts are encoded once.  Suffix sums run by
+    blocks of ``block`` lengths, then over blocks.  Null and empty texts have
+    length 0; repeated rows count one by one; an empty table gives an empty result.
     """
     counts = token_lengths(df, text, vocabulary).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
-    counts = counts.withColumn("block", F.floor(F.col("length") / block))
+    counts = staged(counts.withColumn("block", F.floor(F.col("length") / block)), "lengths")
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
     after = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
