@@ -10,6 +10,7 @@ only the blocks that it touches.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import name, shared_dir, shuffles_removed
 from .tokens import default_vocabulary, encode_rows
 
 MAGIC = b"SGPF0001"
@@ -153,7 +154,7 @@ def write_token_files(
     end id alone.  An empty table writes an empty table.
     """
     vocab = vocabulary or default_vocabulary()
-    rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = df.select(name(doc_id).cast("long").alias("doc_id"), F.coalesce(name(text), F.lit("")).alias("text"))
     # The second key splits a range that one id would fill.
     mark = F.xxhash64("text")
     ordered = rows.repartitionByRange("doc_id", mark).sortWithinPartitions("doc_id", mark, "text")
@@ -190,7 +191,8 @@ def write_token_files(
             yield close()
 
     # Segments are packed already; Parquet's own compression would gain little.
-    ordered.mapInArrow(encode, _SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
+    with shuffles_removed(df.sparkSession):
+        ordered.mapInArrow(encode, _SEGMENT_SCHEMA).write.option("compression", "none").parquet(path)
     return df.sparkSession.read.schema(_SEGMENT_SCHEMA).parquet(path)
 
 
@@ -223,7 +225,5 @@ def read_token_files(segments: DataFrame) -> DataFrame:
 
 def digest(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Write all documents as token files in the shared folder and read them back."""
-    import uuid
-
     path = f"{shared_dir(df.sparkSession)}/sitegrain/tokens-{uuid.uuid4().hex}"
     return read_token_files(write_token_files(df, path, vocabulary=vocabulary))
