@@ -94,11 +94,11 @@ def surviving(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys stand at two places or more.
 
     The keys are aggregated where they are before they meet, so a frequent window
-    is a row per task; the rows then meet their key in a join, whose large
-    partitions can be split.
+    is a row per task, and written; the rows then meet their key in a join of two
+    plain shuffles, whose large partitions can be split.
     """
     again = rows.groupBy(*keys).agg(F.min("who").alias("one"), F.max("who").alias("two")).filter("one != two").select(*keys)
-    return rows.join(again, keys)
+    return rows.join(staged(again, "again"), keys)
 
 
 def resolve(source: DataFrame, text: str, unit: repeats.Unit) -> DataFrame:

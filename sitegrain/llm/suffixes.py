@@ -364,12 +364,13 @@ def _reached(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
     parts = staged(parts, "reached")
     who = F.struct("k1", "k2", "at")
     again = parts.groupBy("c1", "c2").agg(F.min(who).alias("one"), F.max(who).alias("two")).filter("one != two").select("c1", "c2")
+    again = staged(again, "again")
     reach = parts.join(again, ["c1", "c2"]).groupBy("k1", "k2", "at").agg(
         *(F.coalesce(F.max(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1))
     )
     near = reach.select("k1", "k2", (F.col("at") - F.col("n0")).alias("lo"), (F.col("at") + unit.anchor + F.col("n1")).alias("hi"))
     near = staged(near.filter(F.col("hi") - F.col("lo") >= PASSAGE), "near")
-    discard(parts)
+    discard(parts, again)
     # Longer stretches may be two partners' halves: whether they repeat is decided run by run.
     return near.withColumn("hi", F.least("hi", F.col("lo") + unit.run - 1))
 
