@@ -30,8 +30,8 @@ from .kernels import _BYTE64, mix, pieces, run_hash
 UNIT = repeats.Unit("bytes", 400, 64)
 #: Bytes that are transformed at a time, if a group of contexts allows.
 CHUNK = 2 << 20
-#: Contexts of an anchor up to which they are resolved in one place (2.3 MB).
-GROUP = 4096
+#: Contexts of an anchor up to which they are resolved in one place (0.75 MB at most).
+GROUP = 1024
 #: Bytes from which a shared stretch is reported, though it is not removed.
 PASSAGE = 250
 
