@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
+from . import decontamination, divergence, jaccard, merkle, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
 from .common import read
 
 
@@ -27,6 +27,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_word_dedup": _over("documents", substrings.digest),
     "op9_jaccard": _over("documents", jaccard.digest),
     "op10_quality": _over("documents", quality.digest),
+    "op12_divergence": _over("documents", divergence.digest),
+    "op13_merkle": _over("documents", merkle.digest),
 }
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -65,4 +67,6 @@ l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b W
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT n.doc_id, any_value(n.n) AS n_shingles, min(r.b) AS component_id FROM n JOIN r ON r.a = n.doc_id GROUP BY n.doc_id""",
+    "op12_divergence": divergence.ORACLE,
+    "op13_merkle": merkle.oracle(),
 }
