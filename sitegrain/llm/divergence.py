@@ -100,21 +100,11 @@ def kept_counts(df: DataFrame, least: int = LEAST) -> DataFrame:
     return both.where((F.col("docs") >= least) | F.col("term").isNull()).select("lang", "source", "term", "n")
 
 
-def _packed(vectors: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries (i, n) of each row as bytes: places and counts, compressed."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            entries = batch.column(batch.num_columns - 1)
-            flat, ends = entries.flatten(), np.asarray(entries.offsets) - entries.offsets[0].as_py()
-            at, n = flat.field("i").to_numpy(), flat.field("n").to_numpy()
-            out = []
-            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
-                out.append(zlib.compress(at[lo:hi].astype("<i4").tobytes() + n[lo:hi].astype("<i8").tobytes(), 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], [*keys, "vector"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema if f.name in keys)
-    return vectors.mapInArrow(scan, f"{schema}, vector binary")
+def _packed(keys: tuple, entries: pa.Table) -> pa.Table:
+    """Places and counts of a group in a chunk as bytes, compressed; there are about ``CHUNK`` at most."""
+    at, n = (entries.column(c).to_numpy().astype(kind) for c, kind in (("i", "<i4"), ("n", "<i8")))
+    vector = zlib.compress(at.tobytes() + n.tobytes(), 1)
+    return pa.table({"lang": [keys[0].as_py()], "source": [keys[1].as_py()], "chunk": pa.array([keys[2].as_py()], pa.int32()), "vector": [vector]})
 
 
 def _counts(vector: bytes | None, width: int) -> np.ndarray:
@@ -214,8 +204,8 @@ def audit(df: DataFrame, least: int = LEAST, tile: int = TILE, chunk: int = CHUN
     smooth = F.col("kept") * SMOOTH
     slot = F.pmod(F.xxhash64("source"), F.col("slots")).alias("slot")
     seats = groups.join(stats, "lang").select("lang", "source", (F.col("own") + smooth).alias("total"), slot, "slots", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-    entries = kept.join(numbered.select("lang", "term", "chunk", "i"), ["lang", "term"]).groupBy("lang", "source", "chunk").agg(F.collect_list(F.struct("i", "n")).alias("entries"))
-    vectors = _packed(entries, ["lang", "source", "chunk"])
+    entries = kept.join(numbered.select("lang", "term", "chunk", "i"), ["lang", "term"])
+    vectors = entries.groupBy("lang", "source", "chunk").applyInArrow(_packed, "lang string, source string, chunk int, vector binary")
     tiles = seats.join(vectors, ["lang", "source", "chunk"], "left").join(widths, ["lang", "chunk"], "left").fillna(0, ["width"])
     tiles = staged(tiles.select(*_KEYS, "slots", "source", "total", F.col("width").cast("int").alias("width"), "vector"), "tiles")
     lexicon = numbered.groupBy("lang", "chunk").agg(F.collect_list(F.struct("i", "term", "n")).alias("entries"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, divergence, jaccard, merkle, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
+from . import decontamination, divergence, extraction, jaccard, merkle, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
 from .common import read
 
 
@@ -27,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_word_dedup": _over("documents", substrings.digest),
     "op9_jaccard": _over("documents", jaccard.digest),
     "op10_quality": _over("documents", quality.digest),
+    "op11_main_text": _over("pages", extraction.digest),
     "op12_divergence": _over("documents", divergence.digest),
     "op13_merkle": _over("documents", merkle.digest),
 }
