@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import name
+from .common import name, unused
 
 #: Labelled pages that a model is fitted on at most; more than that raises ``ValueError``.
 LABELLED = 800
@@ -326,7 +326,7 @@ def extract(df: DataFrame, html: str = "html", model: Model | None = None) -> Da
             columns = [*batch.columns[:-1], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, "text", "n_chars"])
 
-    return df.select(*[name(c) for c in kept], name(html).alias("_page")).mapInArrow(scan, schema)
+    return df.select(*[name(c) for c in kept], name(html).alias(unused("_page", df))).mapInArrow(scan, schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:
