@@ -116,6 +116,18 @@ def _switch(root: str, name: str) -> None:
         system.delete_dir(f"{base}/.manifest-{old}")
 
 
+def _done():
+    return F.col("status").isin("emit", "replaced")
+
+
+def _entries(decided: DataFrame) -> DataFrame:
+    """Entries of the manifest, with entity tag and length of what is emitted."""
+    return decided.select(
+        "site", F.col("dest").alias("pathname"), F.col("owner_name").alias("owner"), F.when(_done(), "emitted").otherwise(F.col("status")).alias("status"),
+        F.when(_done(), F.col("etag")).alias("etag"), F.when(_done(), F.col("bytes")).cast("long").alias("bytes"), "grp", F.lit(1).alias("version"),
+    )
+
+
 # -- publish ------------------------------------------------------------------
 
 
@@ -163,18 +175,21 @@ def publish(
         outputs = asked.withColumn("path", _file()).join(now, "path").select("site", "dest", F.lit("output").alias("kind"), F.col("now").alias("etag"))
         files = outputs if public is None else outputs.unionByName(public.select("site", "dest", F.lit("public").alias("kind"), F.lit(None).cast("string").alias("etag")))
         decided = ownership.resolve(ownership.externally_owned(ownership.conflicts(claims), routes, files, known))
+        there = outputs.select("site", "dest", F.col("etag").alias("now"))
+        decided = decided.join(there, ["site", "dest"], "left").withColumns({"etag": text.etag(F.col("body")), "bytes": F.octet_length("body")}).drop("body")
+        # Decisions are made once, over the tree as it is; bodies join again only to be written.
+        folder = f"{root.rstrip('/')}/.manifest-{name}"
+        decided.write.parquet(f"{folder}/_decisions")
+        decided = spark.read.parquet(f"{folder}/_decisions")
         blocking = decided.where("status = 'conflict'").agg(F.count("*").alias("n"), F.min("dest").alias("dest")).first()
         if blocking.n:
             raise PublishError(f"{blocking.n} claims conflict, as at {blocking.dest}")
-        entries = ownership.manifest_entries(decided, F.col("body"))
+        entries = _entries(decided)
         if partial:
             entries = entries.unionByName(known.join(claims.select("site", F.col("dest").alias("pathname")).distinct(), ["site", "pathname"], "left_anti").select(entries.columns))
-        folder = f"{root.rstrip('/')}/.manifest-{name}"
-        entries.write.json(folder)
-        there = outputs.select("site", "dest", F.col("etag").alias("now"))
-        emitted = decided.where(F.col("status").isin("emit", "replaced")).join(there, ["site", "dest"], "left")
-        changed = emitted.where(F.col("now").isNull() | (F.col("now") != text.etag(F.col("body"))))
-        operations = changed.select(F.lit("write").alias("kind"), _file(), "body")
+        entries.write.mode("append").json(folder)
+        changed = decided.where(_done() & (F.col("now").isNull() | (F.col("now") != F.col("etag")))).select("site", "claim_id")
+        operations = claims.join(changed, ["site", "claim_id"], "left_semi").select(F.lit("write").alias("kind"), _file(), "body")
         if not partial:
             gone = ownership.stale(known, claims, outputs)
             operations = operations.unionByName(gone.select(F.lit("delete").alias("kind"), _file(dest="pathname"), F.lit(None).cast("string").alias("body")))

@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import content, graphs, publishing, relations, requests
+from . import artifacts, content, graphs, publishing, relations, requests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (publishing, relations, content, graphs, requests):
+for _module in (publishing, relations, content, graphs, requests, artifacts):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

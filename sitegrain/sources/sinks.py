@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
+from functools import lru_cache
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -60,3 +65,25 @@ def sitemap_plan(mode: str, has_own: bool, has_site: bool) -> str:
 
 def sitemap_policy(value: bool | None) -> str:
     return "auto" if value is None else "always" if value else "disabled"
+
+
+def work_folder(spark: SparkSession, stem: str) -> str:
+    """A new place in the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where that is unset, a session in one process gets a temporary folder, which goes
+    when the process ends; on a cluster ``ValueError`` is raised.
+    """
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _own_folder()
+    return f"{shared.rstrip('/')}/{stem}-{uuid.uuid4().hex}"
+
+
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="sitegrain-")
+    atexit.register(shutil.rmtree, folder, True)
+    return "file://" + folder
