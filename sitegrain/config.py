@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from typing import Any
 
 from .functions.html.markdown import Options
 
 
 @dataclass(frozen=True)
 class Section:
-    """A section of the text index: its title and the globs of its pages."""
+    """A section of the text index: its title, and the globs of its pages or a predicate.
+
+    ``where`` is a boolean column over the page rows, or a function of the rows'
+    DataFrame that gives one; a Python predicate is a pandas UDF of columns.
+    """
 
     title: str
     match: tuple[str, ...] = ()
+    where: Any = None
 
 
 @dataclass(frozen=True)

@@ -49,8 +49,11 @@ def full_pages(df: DataFrame, corpus: Corpus, tokens: str = "opt_out_tokens") ->
     return kept
 
 
-def section_of(path: Column, sections: Sequence[Section], default: str | None) -> tuple[Column, Column]:
-    """(title, rank) of the first section whose globs match, else the default; null drops."""
+def section_of(path: Column, sections: Sequence[Section], default: str | None, df: DataFrame | None = None) -> tuple[Column, Column]:
+    """(title, rank) of the first section whose globs or predicate match, else the default; null drops.
+
+    A predicate that is null does not match; one that is a function is given ``df``.
+    """
     titles: list[str] = []
     for s in sections:
         if s.title not in titles:
@@ -59,7 +62,8 @@ def section_of(path: Column, sections: Sequence[Section], default: str | None) -
         titles.append(default)
     title = F.lit(default)
     for s in reversed(sections):
-        title = F.when(paths.match_path(path, s.match), s.title).otherwise(title)
+        hit = paths.match_path(path, s.match) if s.where is None else F.coalesce(s.where if isinstance(s.where, Column) else s.where(df), F.lit(False))
+        title = F.when(hit, s.title).otherwise(title)
     rank = F.lit(len(titles))
     for k, t in enumerate(titles):
         rank = F.when(title == t, k).otherwise(rank)
@@ -103,7 +107,7 @@ def _header(name: Column, description: str, note: str) -> Column:
 def text_index(df: DataFrame, site: Site, note: str = "") -> DataFrame:
     """(site, body): header, then a heading and a list per section that has pages."""
     corpus = site.corpus
-    title, rank = section_of(F.col("pathname"), corpus.sections, corpus.default_section)
+    title, rank = section_of(F.col("pathname"), corpus.sections, corpus.default_section, df)
     pages = df.filter(index_eligible(df, corpus)).select("site", "page_ord", title.alias("section"), rank.alias("rank"), entry_line(df, corpus).alias("line"))
     over = refused(df, corpus.max_pages)
     if corpus.max_pages is not None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import edits, shapes
-from ..operators import envelopes, publishing
+from ..operators import envelopes, ownership, plugin_artifacts, publishing
+from ..operators.plugin_artifacts import GENERATE, VALIDATE, ArtifactPlugin, Claim
 from ..sources import catalogs, sinks, transactions
 from . import graphs, inputs
 
@@ -127,7 +128,37 @@ def entity_positions(spark, sf):
     return e.withColumn("place", F.row_number().over(Window.partitionBy("pathname").orderBy(*envelopes.entity_order(F.col("entity")), "ord"))).select("pathname", "ord", "place")
 
 
-QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions)}
+def _count_pages(claims, pages):
+    own = F.col("plugin") == "counts"
+    out = claims.join(pages.groupBy("site").agg(F.count("*").alias("n")), "site", "left")
+    out = out.withColumn("body", F.when(own, F.concat(F.lit("pages: "), "n")).otherwise(F.col("body")))
+    return out.withColumn("content_type", F.when(own, F.lit("text/plain")).otherwise(F.col("content_type"))).drop("n")
+
+
+def _breaks(claims, pages):
+    return claims.withColumn("body", F.raise_error(F.lit("no content today")).cast("string"))
+
+
+PLUGINS = (
+    ArtifactPlugin("breaks", (Claim("x", "/late.txt"),), {GENERATE: _breaks}),
+    ArtifactPlugin("counts", (Claim("a", "/counts.txt", group="g"), Claim("b", "/owned.txt", replace=True), Claim("c", "/kept.txt", group="g")), {GENERATE: _count_pages}),
+    ArtifactPlugin("shouts", (), {VALIDATE: lambda claims, pages: claims.withColumn("body", F.upper("body"))}),
+)
+
+
+def plugin_artifact_plan(spark, sf):
+    """Artifacts of three plugins, one of which fails, in the ownership plan of each site."""
+    pages = inputs.page_rows(spark, sf)
+    made = plugin_artifacts.produce(PLUGINS, pages)
+    k = F.col("page_ord")
+    routes = pages.where(k % 2 == 0).select("site", F.explode(F.array(F.lit("/owned.txt"), F.lit("/kept.txt"))).alias("pathname")).distinct()
+    none = pages.limit(0).select("site", F.col("pathname").alias("dest"), F.lit("output").alias("kind"), F.lit("").alias("etag"))
+    plan = ownership.resolve(ownership.externally_owned(ownership.conflicts(made.claims), routes, none))
+    found = made.findings.select(F.coalesce("site", F.lit("-")).alias("site"), F.coalesce("pathname", F.lit("-")).alias("pathname"), F.col("plugin").alias("owner"), F.col("code").alias("status"), F.lit(None).cast("string").alias("body"))
+    return plan.select("site", F.col("dest").alias("pathname"), F.col("owner_name").alias("owner"), "status", "body").unionByName(found)
+
+
+QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan)}
 
 _SIDES = "SELECT n_nationkey AS k, (SELECT count(DISTINCT s_suppkey % 60) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 60) AS orgs FROM nation"
 ORACLE_SQL = {
@@ -174,4 +205,11 @@ SELECT 'schema.scalar-conflict', 'error', id, pointer FROM (
   f AS (SELECT t.k, t.r, t.name, first_value(t.r) OVER w AS r0, first_value(t.name) OVER w AS name0 FROM t WINDOW w AS (PARTITION BY k ORDER BY name, r))
   SELECT 'https://graph.example/s/' || k AS id, unnest(list_filter([CASE WHEN name <> name0 THEN '/name' END, CASE WHEN r <> r0 THEN '/location/@id' END], lambda x: x IS NOT NULL)) AS pointer FROM f)""",
     "entity_positions": "SELECT '/n/' || s_nationkey AS pathname, s_suppkey::INT AS ord, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 60 || '', s_suppkey % 9, s_suppkey)::INT AS place FROM supplier",
+    "plugin_artifact_plan": inputs.BASE + """,
+s AS (SELECT site, 'PAGES: ' || count(DISTINCT pathname) AS body, bool_or(page_id % 2 = 0) AS routed FROM base GROUP BY site)
+SELECT site, '/counts.txt' AS pathname, 'counts' AS owner, CASE WHEN routed THEN 'group-skipped' ELSE 'emit' END AS status, body FROM s
+UNION ALL SELECT site, '/owned.txt', 'counts', CASE WHEN routed THEN 'replaced' ELSE 'emit' END, body FROM s
+UNION ALL SELECT site, '/kept.txt', 'counts', CASE WHEN routed THEN 'preserved' ELSE 'emit' END, body FROM s
+UNION ALL SELECT site, '/late.txt', 'breaks', 'plugin-artifact-missing', NULL FROM s
+UNION ALL SELECT '-', '-', 'breaks', 'plugin-failed', NULL""",
 }
