@@ -22,9 +22,10 @@ def _attr(value: str) -> str:
     return value.replace("&", "&amp;").replace('"', "&quot;").replace("<", "&lt;").replace(">", "&gt;")
 
 
-def meta(key: str, content: str) -> str:
+def meta(key: str, content: str, **more: str) -> str:
     kind = "property" if re.match(r"(og|article):", key) else "name"
-    return f'<meta {kind}="{_attr(key)}" content="{_attr(content)}">'
+    extra = "".join(f' {k}="{_attr(v)}"' for k, v in more.items())
+    return f'<meta {kind}="{_attr(key)}" content="{_attr(content)}"{extra}>'
 
 
 def link(rel: str, href: str, **more: str) -> str:
@@ -211,28 +212,49 @@ def delta(before: str, after: str, current: str) -> str | None:
 
 
 def enrich(pages: DataFrame, alternate: str = "auto") -> DataFrame:
-    """(site, pathname, html, canonical, canonical_conflict, entities): enriched pages.
+    """(site, pathname, html, canonical, canonical_conflict, entities, codes): enriched pages.
 
-    Needs site, pathname, url, md_href, html, title, description, language; one pass
-    in Python per page, in Arrow batches.
+    Needs site, pathname, url, md_href, html, title, description, language.  ``head``,
+    where there is such a column, is what a page states of itself (JSON, see
+    :mod:`sitegrain.operators.explicit`): it comes before all else.  ``trail`` (array of
+    name and item) is the catalog's way to the page, used where the page shows none.
+    One pass in Python per page, in Arrow batches.
     """
-    cols = ["site", "pathname", "url", "md_href", "html", "title", "description", "language"]
-    schema = "site string, pathname string, html string, canonical string, canonical_conflict boolean, entities array<string>"
+    from . import explicit
+
+    cols = ["site", "pathname", "url", "md_href", "html", "title", "description", "language", *[c for c in ("head", "trail") if c in pages.columns]]
+    schema = "site string, pathname string, html string, canonical string, canonical_conflict boolean, entities array<string>, codes array<string>"
+
+    def one(row: dict) -> dict:
+        text, base, codes = row["html"] or "", paths.stable_canonical(row["url"]), []
+        scope = paths.site_scope(f"https://{row['site']}")
+        try:
+            said = G.loads(row["head"]) if row.get("head") else {}
+            said = said if isinstance(said, dict) else {}
+        except G.GraphError:
+            said, codes = {}, ["head-invalid"]
+        found, conflict = canonical_of(text, base)
+        own = explicit.explicit_canonical(said, base, scope)
+        found, conflict = (own, False) if own else (found, conflict)
+        text, more = explicit.state(text, said, found or base, scope)
+        stated = {k: said[k] for k in ("title", "description") if isinstance(said.get(k), str)}
+        facts = {k: row[k] for k in ("title", "description", "language")} | stated
+        facts |= {"canonical": found or base, "site_url": scope, "site_name": row["site"]}
+        facts["trail"] = breadcrumb_trail(text, row["url"] or "") or explicit.catalog_trail(row.get("trail"), found or base)
+        written = [e for t in scanner.head_features(text)["scripts"] for e in G.authored(t)[0]]
+        if "schema" in said:
+            good, bad = G.authored(G.stable(said["schema"]))
+            written, codes = written + good, codes + bad
+        merged = G.merge([*written, *inferred_entities(facts)])
+        text = with_alternate(fill_head(text, facts), row["md_href"] or "", alternate)
+        text = with_managed(text, G.document(merged))
+        return {"site": row["site"], "pathname": row["pathname"], "html": text, "canonical": found or base, "canonical_conflict": conflict, "entities": [G.stable(e["entity"]) for e in merged.entries], "codes": codes + more}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, texts = pa.string(), pa.list_(pa.string())
+        arrow = pa.schema([("site", text), ("pathname", text), ("html", text), ("canonical", text), ("canonical_conflict", pa.bool_()), ("entities", texts), ("codes", texts)])
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                text, base = row["html"] or "", paths.stable_canonical(row["url"])
-                found, conflict = canonical_of(text, base)
-                facts = {k: row[k] for k in ("title", "description", "language")}
-                facts |= {"canonical": found or base, "site_url": paths.site_scope(f"https://{row['site']}"), "site_name": row["site"], "trail": breadcrumb_trail(text, row["url"] or "")}
-                merged = G.merge([*[e for t in scanner.head_features(text)["scripts"] for e in G.authored(t)[0]], *inferred_entities(facts)])
-                text = with_alternate(fill_head(text, facts), row["md_href"] or "", alternate)
-                text = with_managed(text, G.document(merged))
-                out.append({"site": row["site"], "pathname": row["pathname"], "html": text, "canonical": found or base, "canonical_conflict": conflict, "entities": [G.stable(e["entity"]) for e in merged.entries]})
-            arrow = pa.schema([("site", pa.string()), ("pathname", pa.string()), ("html", pa.string()), ("canonical", pa.string()), ("canonical_conflict", pa.bool_()), ("entities", pa.list_(pa.string()))])
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            yield pa.RecordBatch.from_pylist([one(row) for row in batch.to_pylist()], arrow)
 
     return pages.select(*cols).mapInArrow(run, schema)
 

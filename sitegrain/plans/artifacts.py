@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import edits, shapes
-from ..operators import envelopes, ownership, plugin_artifacts, publishing
+from ..operators import envelopes, explicit, ownership, plugin_artifacts, publishing
 from ..operators.plugin_artifacts import GENERATE, VALIDATE, ArtifactPlugin, Claim
 from ..sources import catalogs, sinks, transactions
 from . import graphs, inputs
@@ -158,7 +158,23 @@ def plugin_artifact_plan(spark, sf):
     return plan.select("site", F.col("dest").alias("pathname"), F.col("owner_name").alias("owner"), "status", "body").unionByName(found)
 
 
-QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan)}
+def stated_heads(spark, sf):
+    """Pages with the head that they state themselves."""
+    import json
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def state(html: pd.Series, said: pd.Series, url: pd.Series) -> pd.Series:
+        return pd.Series([explicit.state(h, json.loads(s), u, "https://e.com/")[0] for h, s, u in zip(html, said, url, strict=True)])
+
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    k = F.col("page_id")
+    said = F.concat(F.lit('{"title": "New '), k, F.lit(' & more", "robots": ["noindex", "nofollow"]'), F.when(k % 2 == 0, F.lit(', "openGraph": {"type": "article", "images": ["/i.png"]}')).otherwise(""), F.lit("}"))
+    return p.select("page_id", F.sha2(state("html", said, F.concat(F.lit("https://e.com/p/"), k)).cast("binary"), 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan, stated_heads)}
 
 _SIDES = "SELECT n_nationkey AS k, (SELECT count(DISTINCT s_suppkey % 60) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 60) AS orgs FROM nation"
 ORACLE_SQL = {
@@ -212,4 +228,8 @@ UNION ALL SELECT site, '/owned.txt', 'counts', CASE WHEN routed THEN 'replaced'
 UNION ALL SELECT site, '/kept.txt', 'counts', CASE WHEN routed THEN 'preserved' ELSE 'emit' END, body FROM s
 UNION ALL SELECT site, '/late.txt', 'breaks', 'plugin-artifact-missing', NULL FROM s
 UNION ALL SELECT '-', '-', 'breaks', 'plugin-failed', NULL""",
+    "stated_heads": """
+WITH p AS (SELECT page_id, regexp_replace(html, '<title>.*?</title>', '') AS html, 'New ' || page_id || ' &amp; more' AS t FROM pages)
+SELECT page_id, sha256(replace(html, '</head>', '<title>' || t || '</title><meta name="robots" content="noindex, nofollow">' || CASE WHEN page_id % 2 = 0 THEN '<meta property="og:type" content="article"><meta property="og:title" content="' || t ||
+  '"><meta property="og:url" content="https://e.com/p/' || page_id || '"><meta property="og:image" content="https://e.com/i.png">' ELSE '' END || '</head>')) AS sha256 FROM p""",
 }
