@@ -114,3 +114,40 @@ BODY_HEADERS = ("content-length", "content-encoding", "content-language", "conte
 
 def strip_body_headers(headers: Column) -> Column:
     return F.map_filter(headers, lambda k, _: ~F.lower(k).isin(*BODY_HEADERS))
+
+
+# -- responses -----------------------------------------------------------------
+
+
+def header(headers: Column, key: str) -> Column:
+    """A header's value, whatever the case of its name; null if it is not there."""
+    return F.get(F.map_values(F.map_filter(headers, lambda k, _: F.lower(k) == key)), F.lit(0))
+
+
+def html_type(headers: Column) -> Column:
+    """``text/html`` or ``application/xhtml+xml``, null for another type."""
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(header(headers, "content-type"), F.lit("")), ";", 1)))
+    return F.when(kind.isin("text/html", "application/xhtml+xml"), kind)
+
+
+def utf8_html(headers: Column) -> Column:
+    """Whether a response is HTML that its header does not say to be other than UTF-8.
+
+    Every charset that is declared has to be UTF-8, and a declaration has to have a value.
+    """
+    kind = F.coalesce(header(headers, "content-type"), F.lit(""))
+    named = F.regexp_extract_all(kind, F.lit(r"(?i);\s*charset\s*=\s*(?:\"([^\"]*)\"|([^;\s\"]+))"), F.lit(0))
+    values = F.transform(named, lambda d: F.lower(F.trim(F.regexp_replace(F.regexp_replace(d, r"(?i)\A;\s*charset\s*=\s*", ""), '"', ""))))
+    empty = kind.rlike(r"(?i);\s*charset\s*=")
+    return html_type(headers).isNotNull() & F.when(F.size(values) == 0, ~empty).otherwise(F.forall(values, lambda v: v.isin("utf-8", "utf8")))
+
+
+def identity_encoded(headers: Column) -> Column:
+    """Whether a body is as it was written: no content coding but ``identity``."""
+    value = header(headers, "content-encoding")
+    return F.when(F.coalesce(value, F.lit("")) == "", F.lit(True)).otherwise(F.forall(F.split(value, ","), lambda c: F.lower(F.trim(c)) == "identity"))
+
+
+def generated_status(status: Column) -> Column:
+    """The status of a generated body in place of another: whole, so never 206."""
+    return F.when(status == 206, 200).otherwise(status)

@@ -101,6 +101,8 @@ def render_chain(page: dict, renderers: Sequence[Renderer]) -> dict:
         except Exception:
             codes.append("renderer-failed")
             continue
+        if isinstance(got.get("code"), str):
+            codes.append(got["code"])
         if status == "rendered" and isinstance(got.get("markdown"), str):
             return {"markdown": got["markdown"], "renderer": r.name, "status": "rendered", "codes": ",".join(codes)}
         if status == "fallback-to-html":
@@ -155,28 +157,61 @@ class DensityRenderer:
 class MdxRenderer:
     """Markdown of MDX sources without running them.
 
-    Imports and exports go; components are unwrapped, dropped (``omit``) or written
-    as another element (``elements``).  A source with expressions falls back to HTML.
+    Module code and comments go; a component is unwrapped, left out, or written as
+    another element, as ``components`` maps it (``{"Box": {"action": "unwrap"}}``; ``omit``
+    and ``elements`` are short for that).  A source with expressions, or with
+    components that nothing is said of, falls back to HTML; one that is no MDX, or
+    mappings that are none, leave the page to the next renderer with a code.
     """
 
     name, api_version = "mdx", 1
 
-    def __init__(self, omit: Sequence[str] = (), elements: dict[str, str] | None = None):
-        self.omit, self.elements = frozenset(omit), dict(elements or {})
+    def __init__(self, omit: Sequence[str] = (), elements: dict[str, str] | None = None, components: dict | None = None, unknown: str = "fallback"):
+        short = {n: {"action": "omit"} for n in omit} | {n: {"action": "element", "name": e} for n, e in (elements or {}).items()}
+        self.components = components if components is not None and not isinstance(components, dict) else short | (components or {})
+        self.unknown = unknown
 
     def render(self, page: dict) -> dict:
-        import re
+        from ..functions import mdx
 
         if page.get("kind") != "mdx" or not isinstance(page.get("body"), str):
             return {"status": "decline"}
-        text = re.sub(r"(?m)^(?:import|export)\s[^\n]*\n?", "", page["body"])
-        fenced = re.split(r"(?ms)(^```.*?^```[ \t]*$|`[^`\n]*`)", text)
-        for k in range(0, len(fenced), 2):
-            part = fenced[k]
-            for name in self.omit:
-                part = re.sub(rf"(?s)<{name}\b[^>]*/>|<{name}\b[^>]*>.*?</{name}>", "", part)
-            part = re.sub(r"</?([A-Z][\w.]*)\b[^>{}]*/?>", lambda m: re.sub(m[1], self.elements[m[1]], m[0]) if m[1] in self.elements else "", part)
-            if "{" in part or re.search(r"</?[A-Z]", part):
-                return {"status": "fallback-to-html"}
-            fenced[k] = part
-        return {"status": "rendered", "markdown": "".join(fenced).strip() + "\n"}
+        try:
+            known = mdx.mappings(self.components)
+        except ValueError:
+            return {"status": "continue", "code": "mdx-invalid-component-mapping"}
+        try:
+            found = mdx.edits(page["body"], known, self.unknown)
+        except mdx.MdxError:
+            return {"status": "continue", "code": "mdx-parse-failed"}
+        if found is None:
+            return {"status": "fallback-to-html", "code": "mdx-rendered-html-fallback"}
+        text = page["body"]
+        for start, stop, put in reversed(found):
+            text = text[:start] + put + text[stop:]
+        return {"status": "rendered", "markdown": text}
+
+
+#: Origin that relative addresses get while a renderer needs whole ones.
+ORIGIN = "https://sitegrain.invalid/"
+
+
+class SyntheticOrigin:
+    """A renderer that needs absolute addresses, given a page of a made-up origin.
+
+    Markdown comes back with root-relative addresses; those of real origins stay.
+    """
+
+    api_version = 1
+
+    def __init__(self, inner: Renderer):
+        self.inner, self.name = inner, inner.name
+
+    def render(self, page: dict) -> dict:
+        from ..functions import paths
+
+        address = paths.stable_canonical(page.get("pathname") or "/", ORIGIN) or ORIGIN
+        got = self.inner.render({**page, "url": page.get("url") or address})
+        if isinstance(got, dict) and isinstance(got.get("markdown"), str):
+            got = {**got, "markdown": got["markdown"].replace(ORIGIN, "/")}
+        return got

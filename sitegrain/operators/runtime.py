@@ -46,6 +46,29 @@ def respond(requests: DataFrame, artifacts: DataFrame, mode: str = "inline") ->
     return out.withColumn("body", F.when(~no_body, F.col("body"))).withColumn("vary", F.lit("Accept")).drop("method")
 
 
+def represent(responses: DataFrame) -> DataFrame:
+    """What goes out where a representation was generated for an upstream response.
+
+    Rows have request_id, method, if_none_match, status, headers (map), body, and
+    ``generated`` with ``generated_type``, null where nothing was.  A representation
+    made from a page that is no UTF-8 HTML, or is compressed, is not used: the upstream
+    response goes on as it is (``replaced`` false).  Otherwise headers that describe the
+    old body go, a partial response becomes a whole one, and an entity that the client
+    has gives 304, of successful statuses only.
+    """
+    usable = F.col("generated").isNotNull() & accept.utf8_html(F.col("headers")) & accept.identity_encoded(F.col("headers"))
+    rows = responses.withColumn("replaced", usable).withColumn("etag", F.when(usable, text.etag(F.col("generated"))))
+    whole = accept.generated_status(F.col("status"))
+    known = whole.between(200, 299) & F.coalesce(accept.not_modified(F.col("if_none_match"), F.col("etag")), F.lit(False))
+    status = F.when(~F.col("replaced"), F.col("status")).when(known, 304).otherwise(whole)
+    new = F.when(known, F.create_map(F.lit("etag"), "etag")).otherwise(F.create_map(F.lit("etag"), F.col("etag"), F.lit("content-type"), F.col("generated_type")))
+    kept = F.map_filter(accept.strip_body_headers(F.col("headers")), lambda k, _: ~F.lower(k).isin("etag", "content-type"))
+    rows = rows.withColumns({"final": status, "out": F.when(F.col("replaced"), F.map_concat(kept, new)).otherwise(F.col("headers"))})
+    silent = F.col("replaced") & accept.bodyless(F.col("final"), F.col("method"))
+    body = F.when(silent, F.lit(None).cast("string")).when(F.col("replaced"), F.col("generated")).otherwise(F.col("body"))
+    return rows.select("request_id", "replaced", F.col("final").alias("status"), F.col("out").alias("headers"), body.alias("body"))
+
+
 def project_owned(requests: DataFrame, routes: DataFrame, patterns: Sequence[str] = ()) -> DataFrame:
     """Add ``owned``: the project itself has the path, exactly or by a pattern."""
     exact = routes.select("site", F.col("pathname").alias("path"), F.lit(True).alias("exact")).distinct()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import edits, shapes
-from ..operators import envelopes, explicit, ownership, plugin_artifacts, publishing
+from ..operators import envelopes, explicit, ownership, plugin_artifacts, publishing, runtime
 from ..operators.plugin_artifacts import GENERATE, VALIDATE, ArtifactPlugin, Claim
 from ..sources import catalogs, sinks, transactions
 from . import graphs, inputs
@@ -160,10 +163,6 @@ def plugin_artifact_plan(spark, sf):
 
 def stated_heads(spark, sf):
     """Pages with the head that they state themselves."""
-    import json
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def state(html: pd.Series, said: pd.Series, url: pd.Series) -> pd.Series:
         return pd.Series([explicit.state(h, json.loads(s), u, "https://e.com/")[0] for h, s, u in zip(html, said, url, strict=True)])
@@ -174,8 +173,27 @@ def stated_heads(spark, sf):
     return p.select("page_id", F.sha2(state("html", said, F.concat(F.lit("https://e.com/p/"), k)).cast("binary"), 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan, stated_heads)}
+_TYPES = ["text/html", "text/html; charset=utf-8", 'text/html;charset="UTF8"', "text/html; charset=latin-1", "application/json", "application/xhtml+xml; charset=", "Text/HTML ; a=b"]
+
+
+def represented_responses(spark, sf):
+    """Upstream responses of all kinds, of which some are replaced by a generated text."""
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    k = F.col("page_id")
+    kind = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (k % len(_TYPES) + 1).cast("int"))
+    headers = F.map_concat(F.create_map(F.lit("Content-Type"), kind, F.lit("X-Kept"), F.lit("1"), F.lit("Last-Modified"), F.lit("then")), F.when(k % 5 == 1, F.create_map(F.lit("Content-Encoding"), F.lit("gzip"))).when(k % 5 == 2, F.create_map(F.lit("content-encoding"), F.lit("Identity"))).otherwise(F.create_map().cast("map<string,string>")))
+    made = F.when(k % 11 != 0, F.concat(F.lit("md "), k))
+    rows = p.select(
+        k.alias("request_id"), F.when(k % 3 == 0, "HEAD").otherwise("GET").alias("method"), F.when(k % 4 == 0, "*").alias("if_none_match"), F.when(k % 6 == 0, 206).when(k % 6 == 1, 404).otherwise(200).alias("status"),
+        headers.alias("headers"), F.lit("upstream").alias("body"), made.alias("generated"), F.lit("text/markdown").alias("generated_type"),
+    )
+    out = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(F.lower(e["key"]), F.lit("="), e["value"]))), "|")
+    return runtime.represent(rows).select("request_id", "replaced", "status", out.alias("headers"), "body")
+
+
+QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan, stated_heads, represented_responses)}
 
+_LISTED = "[" + ", ".join(f"'{t}'" for t in _TYPES) + "]"
 _SIDES = "SELECT n_nationkey AS k, (SELECT count(DISTINCT s_suppkey % 60) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 60) AS orgs FROM nation"
 ORACLE_SQL = {
     "write_policies": inputs.CLAIMS.replace("flagged AS (", "unused AS (") + """,
@@ -232,4 +250,11 @@ UNION ALL SELECT '-', '-', 'breaks', 'plugin-failed', NULL""",
 WITH p AS (SELECT page_id, regexp_replace(html, '<title>.*?</title>', '') AS html, 'New ' || page_id || ' &amp; more' AS t FROM pages)
 SELECT page_id, sha256(replace(html, '</head>', '<title>' || t || '</title><meta name="robots" content="noindex, nofollow">' || CASE WHEN page_id % 2 = 0 THEN '<meta property="og:type" content="article"><meta property="og:title" content="' || t ||
   '"><meta property="og:url" content="https://e.com/p/' || page_id || '"><meta property="og:image" content="https://e.com/i.png">' ELSE '' END || '</head>')) AS sha256 FROM p""",
+    "represented_responses": f"""
+WITH p AS (SELECT page_id AS k, {_LISTED}[page_id % {len(_TYPES)} + 1] AS kind, CASE WHEN page_id % 11 <> 0 THEN 'md ' || page_id END AS made, CASE WHEN page_id % 6 = 0 THEN 206 WHEN page_id % 6 = 1 THEN 404 ELSE 200 END AS up FROM pages),
+r AS (SELECT *, made IS NOT NULL AND k % {len(_TYPES)} IN (0, 1, 2, 6) AND k % 5 <> 1 AS replaced, '"' || sha256(made) || '"' AS etag FROM p),
+s AS (SELECT *, CASE WHEN NOT replaced THEN up WHEN up <> 404 AND k % 4 = 0 THEN 304 WHEN up = 206 THEN 200 ELSE up END AS status FROM r)
+SELECT k AS request_id, replaced, status, CASE WHEN NOT replaced THEN CASE k % 5 WHEN 1 THEN 'content-encoding=gzip|' WHEN 2 THEN 'content-encoding=Identity|' ELSE '' END || 'content-type=' || kind || '|last-modified=then|x-kept=1'
+  WHEN status = 304 THEN 'etag=' || etag || '|x-kept=1' ELSE 'content-type=text/markdown|etag=' || etag || '|x-kept=1' END AS headers,
+  CASE WHEN NOT replaced THEN 'upstream' WHEN status = 304 OR k % 3 = 0 THEN NULL ELSE made END AS body FROM s""",
 }

@@ -139,8 +139,8 @@ class Fixed:
 
 def test_renderers(spark):
     assert plugins.render_chain({}, [Failing(), Fixed()]) == {"markdown": "ok", "renderer": "fixed", "status": "rendered", "codes": "renderer-failed"}
-    got = plugins.render_chain({"kind": "mdx", "body": "import X from 'x'\n# A\n<Box>b</Box> `{c}`"}, [plugins.MdxRenderer()])
-    assert got["markdown"] == "# A\nb `{c}`\n"
+    got = plugins.render_chain({"kind": "mdx", "body": "import X from 'x'\n\n# A\n<Box>b</Box> `{c}`"}, [plugins.MdxRenderer(components={"Box": {"action": "unwrap"}})])
+    assert got["markdown"] == "\n# A\nb `{c}`"
     assert plugins.render_chain({"kind": "mdx", "body": "{x}"}, [plugins.MdxRenderer()])["status"] == "fallback-to-html"
     with pytest.raises(ValueError):
         plugins.check_renderer(object())
