@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -161,6 +161,48 @@ def marker(text: str, attribute: str) -> dict | None:
     return None
 
 
+def marker_payloads(text: str | None, attribute: str) -> tuple[dict | None, list[str], str | None]:
+    """(payload, codes, page without markers): the first marker that is a JSON object counts.
+
+    One that is no JSON object is ``marker-invalid``; a second good one ``marker-repeated``.
+    """
+    if text is None or attribute not in text:
+        return None, [], text
+    payload, codes, spans = None, [], []
+    for tag in scanner.tags(text):
+        if tag.name != "script" or tag.closing or attribute not in scanner.attributes(tag):
+            continue
+        spans.append((tag.start, tag.outer))
+        try:
+            value = G.loads(text[tag.end : tag.inner])
+        except G.GraphError:
+            value = None
+        if not isinstance(value, dict):
+            codes.append("marker-invalid")
+        elif payload is None:
+            payload = value
+        else:
+            codes.append("marker-repeated")
+    return payload, codes, scanner.cut(text, spans)
+
+
+def markers(html: Column, attribute: str) -> Column:
+    """Struct (payload, codes, html) of pages' markers: payload as JSON, html without them."""
+
+    def read(texts: pd.Series) -> pd.DataFrame:
+        rows = [marker_payloads(None if t is None or t != t else t, attribute) for t in texts]
+        return pd.DataFrame([(None if p is None else G.stable(p), c, h) for p, c, h in rows], columns=["payload", "codes", "html"])
+
+    return F.pandas_udf(read, "payload string, codes array<string>, html string")(html)
+
+
+def marked(pages: DataFrame, attribute: str) -> tuple[DataFrame, DataFrame]:
+    """(pages with ``marker`` and html without markers, findings); of (site, pathname, html and more)."""
+    rows = pages.withColumn("_m", markers(F.col("html"), attribute))
+    found = rows.select("site", F.lit("head").alias("producer"), F.explode("_m.codes").alias("code"), F.lit("warning").alias("severity"), "pathname")
+    return rows.withColumns({"marker": F.col("_m.payload"), "html": F.col("_m.html")}).drop("_m"), found
+
+
 def breadcrumb_trail(text: str, page_url: str) -> list[dict] | None:
     """Links of the breadcrumb navigation, if there are two and they end at the page."""
     for nav in dom.select(dom.parse(text), 'nav[aria-label*="readcrumb"], [class~="breadcrumbs"], [class~="breadcrumb"]'):

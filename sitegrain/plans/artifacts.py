@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import edits, shapes
-from ..operators import envelopes, explicit, ownership, plugin_artifacts, publishing, runtime
+from ..operators import envelopes, explicit, heads, ownership, plugin_artifacts, publishing, runtime
 from ..operators.plugin_artifacts import GENERATE, VALIDATE, ArtifactPlugin, Claim
 from ..sources import catalogs, sinks, transactions
 from . import graphs, inputs
@@ -191,7 +191,19 @@ def represented_responses(spark, sf):
     return runtime.represent(rows).select("request_id", "replaced", "status", out.alias("headers"), "body")
 
 
-QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan, stated_heads, represented_responses)}
+def marked_pages(spark, sf):
+    """Pages with payloads embedded in scripts: read, reported where they are none, and removed."""
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    k = F.col("page_id")
+    script = lambda body: F.concat(F.lit("<script type='application/json' data-own>"), body, F.lit("</script>"))
+    good = script(F.concat(F.lit('{"title": "M '), k, F.lit('"}')))
+    put = F.when(k % 4 == 0, good).when(k % 4 == 1, script(F.lit("[1]"))).when(k % 4 == 2, F.concat(script(F.lit("{")), good, good)).otherwise("")
+    rows = p.select("page_id", F.lit("s").alias("site"), F.lit("/").alias("pathname"), F.concat(F.replace("html", F.lit("</head>"), F.concat(put, F.lit("</head>"))), put).alias("html"))
+    shown = rows.withColumn("m", heads.markers(F.col("html"), "data-own"))
+    return shown.select("page_id", F.get_json_object("m.payload", "$.title").alias("title"), F.array_join("m.codes", ",").alias("codes"), F.sha2(F.col("m.html").cast("binary"), 256).alias("sha256"))
+
+
+QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan, stated_heads, represented_responses, marked_pages)}
 
 _LISTED = "[" + ", ".join(f"'{t}'" for t in _TYPES) + "]"
 _SIDES = "SELECT n_nationkey AS k, (SELECT count(DISTINCT s_suppkey % 60) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 60) AS orgs FROM nation"
@@ -257,4 +269,7 @@ s AS (SELECT *, CASE WHEN NOT replaced THEN up WHEN up <> 404 AND k % 4 = 0 THEN
 SELECT k AS request_id, replaced, status, CASE WHEN NOT replaced THEN CASE k % 5 WHEN 1 THEN 'content-encoding=gzip|' WHEN 2 THEN 'content-encoding=Identity|' ELSE '' END || 'content-type=' || kind || '|last-modified=then|x-kept=1'
   WHEN status = 304 THEN 'etag=' || etag || '|x-kept=1' ELSE 'content-type=text/markdown|etag=' || etag || '|x-kept=1' END AS headers,
   CASE WHEN NOT replaced THEN 'upstream' WHEN status = 304 OR k % 3 = 0 THEN NULL ELSE made END AS body FROM s""",
+    "marked_pages": """
+SELECT page_id, CASE WHEN page_id % 4 IN (0, 2) THEN 'M ' || page_id END AS title,
+  CASE page_id % 4 WHEN 0 THEN 'marker-repeated' WHEN 1 THEN 'marker-invalid,marker-invalid' WHEN 2 THEN 'marker-invalid,marker-repeated,marker-invalid,marker-repeated,marker-repeated' ELSE '' END AS codes, sha256(html) AS sha256 FROM pages""",
 }

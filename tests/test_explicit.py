@@ -83,3 +83,13 @@ def test_enrichment_with_statements(spark):
     assert any(json.loads(e).get("name") == "Stated" for e in got["/p"].entities)
     plain = heads.enrich(df.drop("head", "trail"))
     assert plain.count() == 3
+
+
+def test_markers(spark):
+    good, bad = "<script data-m>{\"a\": 1}</script>", "<script data-m>[</script>"
+    assert heads.marker_payloads(f"<head>{bad}{good}</head><body>{good}x<script>data-m</script>", "data-m") == ({"a": 1}, ["marker-invalid", "marker-repeated"], "<head></head><body>x<script>data-m</script>")
+    assert heads.marker_payloads(None, "data-m") == (None, [], None) and heads.marker_payloads("x", "data-m") == (None, [], "x")
+    df = spark.createDataFrame([("s", "/a", f"<head>{good}</head>", 1), ("s", "/b", bad, 2), ("s", "/c", None, 3)], "site string, pathname string, html string, other int")
+    pages, found = heads.marked(df, "data-m")
+    assert {r.pathname: (r.marker, r.html, r.other) for r in pages.collect()} == {"/a": ('{"a":1}', "<head></head>", 1), "/b": (None, "", 2), "/c": (None, None, 3)}
+    assert [(r.code, r.pathname) for r in found.collect()] == [("marker-invalid", "/b")]
