@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import graph as G
@@ -46,6 +46,16 @@ def authored_entities(pages: DataFrame) -> DataFrame:
     return found.select("site", "pathname", "ord", "e.entity", "e.error")
 
 
+def entry_findings(entries: DataFrame) -> DataFrame:
+    """Findings for entries that are no JSON objects; no merge counts them."""
+    return entries.filter(~_sound(F.col("entity"))).select("site", F.lit("graph").alias("producer"), F.lit("schema.invalid-graph").alias("code"), F.lit("error").alias("severity"), "pathname")
+
+
+def _sound(entity: Column) -> Column:
+    """Whether a text is a JSON object, told without leaving Spark's own functions."""
+    return F.coalesce(F.schema_of_variant(F.try_parse_json(entity)).startswith("OBJECT"), F.lit(False))
+
+
 def merge_pages(entries: DataFrame, policy: str = "error") -> DataFrame:
     """One merged graph per page, in ``ord`` order; entries that are no JSON are left out."""
 
@@ -70,16 +80,20 @@ def merge_site(entries: DataFrame, policy: str = "error") -> DataFrame:
     """(site, id, types, entity): a site's entities, merged by id without their roles.
 
     Equal entities are one row before anything moves, so an entity that every page
-    repeats is no large group.
+    repeats is no large group.  Entries that are no entities are left out, as in
+    :func:`merge_pages`; :func:`entry_findings` has them.
     """
     parts = F.get_json_object("entity", "$.@id")
-    rows = entries.select("site", "entity", F.coalesce(F.get_json_object(F.col("entity"), "$['@id']"), parts).alias("id")).distinct()
+    rows = entries.filter(_sound(F.col("entity"))).select("site", "entity", F.coalesce(F.get_json_object(F.col("entity"), "$['@id']"), parts).alias("id")).distinct()
     named, others = rows.filter("id IS NOT NULL"), rows.filter("id IS NULL")
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
         merger = G.Merger(policy)
         for text in sorted(group["entity"]):
-            merger.add(G.loads(text))
+            try:
+                merger.add(G.loads(text))
+            except G.GraphError:
+                continue
         return pd.DataFrame([(group["site"].iloc[0], e["entity"].get("@id"), G.types(e["entity"]), G.stable(e["entity"])) for e in merger.entries], columns=["site", "id", "types", "entity"])
 
     kind = "site string, id string, types array<string>, entity string"

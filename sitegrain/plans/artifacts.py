@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import edits, shapes
-from ..operators import envelopes, explicit, heads, ownership, plugin_artifacts, publishing, runtime
+from ..operators import corpus, envelopes, explicit, heads, ownership, plugin_artifacts, publishing, records, runtime
 from ..operators.plugin_artifacts import GENERATE, VALIDATE, ArtifactPlugin, Claim
+from ..operators import graphs as graph_operators
 from ..sources import catalogs, sinks, transactions
+from ..sources import pages as source
 from . import graphs, inputs
 
 
@@ -203,7 +205,57 @@ def marked_pages(spark, sf):
     return shown.select("page_id", F.get_json_object("m.payload", "$.title").alias("title"), F.array_join("m.codes", ",").alias("codes"), F.sha2(F.col("m.html").cast("binary"), 256).alias("sha256"))
 
 
-QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan, stated_heads, represented_responses, marked_pages)}
+def page_places(spark, sf):
+    """Pages of a site in the order of a locale, which is not that of code points."""
+    p = inputs.page_rows(spark, sf)
+    letters = F.translate(F.col("page_ord").cast("string"), "0123456789", "abcdefghij")
+    name = F.when(F.col("page_ord") % 3 == 0, F.upper(letters)).otherwise(letters)
+    return records.site_order(p.select("site", "page_ord", name.alias("name")), "name").select("site", "page_ord", "name", "place")
+
+
+def artifact_requests(spark, sf):
+    """Requests for artifacts and Markdown copies among those for pages: what is asked for, and the answer."""
+    p = inputs.page_rows(spark, sf)
+    k = F.col("page_ord")
+    paths_ = ["/llms.txt", "/llms-full.txt", "/robots.txt", "/.well-known/domain-profile.json"]
+    path = F.col("pathname")
+    for j, named in enumerate(paths_):
+        path = F.when(k % 7 == j, named).otherwise(path)
+    path = F.when(k % 7 == 4, F.concat(F.lit("/p"), k, F.lit(".md"))).otherwise(path)
+    asked = p.select(k.alias("request_id"), "site", path.alias("path"), F.lit("GET").alias("method"), F.lit("text/markdown").alias("accept"), F.lit(None).cast("string").alias("if_none_match"))
+    there = p.select("site", F.explode(F.array(*[F.lit(x) for x in paths_[:3]])).alias("served_path")).distinct().withColumn("body", F.concat("site", "served_path"))
+    return runtime.respond(asked, there).select("request_id", "path", corpus.dispatch(F.col("path")).alias("artifact"), "status", "body")
+
+
+def read_manifests(spark, sf):
+    """A manifest written line by line, some of them broken, of another version or without a path."""
+    place = sinks.work_folder(spark, "manifest")
+    k = F.col("p_partkey")
+    line = F.to_json(F.struct(F.lit("parts.example").alias("site"), F.when(k % 7 != 0, F.concat(F.lit("/a"), k)).alias("pathname"), F.lit("core").alias("owner"), F.lit("emitted").alias("status"), F.when(k % 11 == 0, 2).otherwise(1).alias("version")))
+    rows = spark.read.parquet(f"{sf}/part.parquet").select(F.when(k % 5 == 0, F.concat(F.lit("{"), line)).when(k % 5 == 1, F.lit("no json")).otherwise(line).alias("value"))
+    rows.write.text(place)
+    return source.manifest(spark, place).select("site", "pathname", "owner", "status", "version")
+
+
+def replayed_patches(spark, sf):
+    """Patches made for each page's entries, replayed over entries that have changed since."""
+    e = graphs._entries(spark, sf).where("ord BETWEEN 0 AND 60")
+    ident = lambda r: F.col("ord") % 5 == r
+    entry = lambda entity: F.concat(F.lit('{"entity":'), entity, F.lit(',"provenance":[{"source":"api"}],"roles":'), F.to_json("roles"), F.lit("}"))
+    new = F.replace("entity", F.lit('"Org '), F.lit('"Firm '))
+    name = F.to_json(F.array(F.get_json_object("entity", "$['@id']")))
+    quoted = F.expr("substring(n, 2, length(n) - 2)")
+    ops = e.withColumn("n", name).withColumn(
+        "patch",
+        F.when(ident(0), F.concat(F.lit('[{"op":"remove","id":'), quoted, F.lit(',"before":'), entry(F.col("entity")), F.lit("}]")))
+        .when(ident(1) | ident(2), F.concat(F.lit('[{"op":"update","id":'), quoted, F.lit(',"before":'), entry(F.col("entity")), F.lit(',"after":'), entry(new), F.lit("}]"))),
+    )
+    base = e.withColumn("entity", F.when(ident(2), F.replace("entity", F.lit('"Org '), F.lit('"Other '))).otherwise(F.col("entity")))
+    out = graph_operators.patch_pages(base, ops.where("patch IS NOT NULL").select("site", "pathname", "patch"))
+    return out.groupBy("pathname").agg(F.count("conflict").alias("conflicts"), F.count("entity").alias("entries"), F.count(F.when(F.col("entity").contains('"Firm '), 1)).alias("firms"))
+
+
+QUERIES = {f.__name__: f for f in (write_policies, published_tree, composed_edits, loaded_catalogs, broken_descriptors, reconciled_graphs, site_references, entity_positions, plugin_artifact_plan, stated_heads, represented_responses, marked_pages, page_places, artifact_requests, read_manifests, replayed_patches)}
 
 _LISTED = "[" + ", ".join(f"'{t}'" for t in _TYPES) + "]"
 _SIDES = "SELECT n_nationkey AS k, (SELECT count(DISTINCT s_suppkey % 60) FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey <= 60) AS orgs FROM nation"
@@ -272,4 +324,14 @@ SELECT k AS request_id, replaced, status, CASE WHEN NOT replaced THEN CASE k % 5
     "marked_pages": """
 SELECT page_id, CASE WHEN page_id % 4 IN (0, 2) THEN 'M ' || page_id END AS title,
   CASE page_id % 4 WHEN 0 THEN 'marker-repeated' WHEN 1 THEN 'marker-invalid,marker-invalid' WHEN 2 THEN 'marker-invalid,marker-repeated,marker-invalid,marker-repeated,marker-repeated' ELSE '' END AS codes, sha256(html) AS sha256 FROM pages""",
+    "page_places": inputs.BASE + """,
+n AS (SELECT site, page_id AS page_ord, CASE WHEN page_id % 3 = 0 THEN upper(translate(page_id::VARCHAR, '0123456789', 'abcdefghij')) ELSE translate(page_id::VARCHAR, '0123456789', 'abcdefghij') END AS name FROM base)
+SELECT site, page_ord, name, row_number() OVER (PARTITION BY site ORDER BY lower(name))::INT AS place FROM n""",
+    "artifact_requests": inputs.BASE + """,
+a AS (SELECT page_id AS request_id, site, CASE page_id % 7 WHEN 0 THEN '/llms.txt' WHEN 1 THEN '/llms-full.txt' WHEN 2 THEN '/robots.txt' WHEN 3 THEN '/.well-known/domain-profile.json' WHEN 4 THEN '/p' || page_id || '.md' ELSE pathname END AS path FROM base)
+SELECT request_id, path, CASE request_id % 7 WHEN 0 THEN 'index' WHEN 1 THEN 'full' WHEN 2 THEN 'robots' WHEN 3 THEN 'profile' WHEN 4 THEN 'markdown' END AS artifact,
+  CASE WHEN request_id % 7 < 3 THEN 200 ELSE 404 END AS status, CASE WHEN request_id % 7 < 3 THEN site || path END AS body FROM a""",
+    "read_manifests": "SELECT 'parts.example' AS site, '/a' || p_partkey AS pathname, 'core' AS owner, 'emitted' AS status, 1 AS version FROM part WHERE p_partkey % 5 > 1 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0",
+    "replayed_patches": """SELECT '/n/' || s_nationkey AS pathname, count(*) FILTER (s_suppkey % 5 = 2) AS conflicts, count(*) FILTER (s_suppkey % 5 <> 0) AS entries, count(*) FILTER (s_suppkey % 5 = 1) AS firms
+FROM supplier WHERE s_suppkey <= 60 GROUP BY s_nationkey""",
 }

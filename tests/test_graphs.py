@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from sitegrain.functions import graph as G
 
 
@@ -71,3 +73,13 @@ def test_reconcile():
     got, bad = G.reconcile(text, text, [], None, [page(name="a", more=1)])
     assert not bad and got[0]["entity"] == page(more=1)
     assert G.subtract(page(name="a"), page(name="a")) is None
+
+
+def test_entries_that_are_no_entities(spark):
+    from sitegrain.operators import graphs
+
+    rows = [("s", "/a", 0, '{"@id":"https://e/x","@type":"Thing","name":"n"}'), ("s", "/a", 1, "{"), ("s", "/a", 2, "[1]"), ("s", "/a", 3, None), ("s", "/b", 0, '{"@id":"https://e/x","@type":"Thing","@context":"c"}'), ("s", "/b", 1, '{"@type":"Thing"}')]
+    df = spark.createDataFrame(rows, "site string, pathname string, ord int, entity string").selectExpr("*", "array() AS roles", "CAST(NULL AS STRING) AS provenance").withColumn("roles", F.array().cast("array<string>"))
+    assert sorted((r.id or "", r.entity) for r in graphs.merge_site(df).collect()) == [("", '{"@type":"Thing"}'), ("https://e/x", '{"@id":"https://e/x","@type":"Thing","name":"n"}')]
+    assert {r.pathname: r.id for r in graphs.merge_pages(df).collect()} == {"/a": "https://e/x", "/b": None}
+    assert [(r.pathname, r.code) for r in graphs.entry_findings(df).collect()] == [("/a", "schema.invalid-graph")] * 3
