@@ -24,6 +24,7 @@ _CLOSES = {
     "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"},
 }
 _ENDS_P = frozenset("address article aside blockquote div dl figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
+_CLOSED_BY = {name: _CLOSES.get(name, set()) | ({"p"} if name in _ENDS_P else set()) for name in _ENDS_P | set(_CLOSES)}
 _SCOPE = {"li": {"ul", "ol"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "dt": {"dl"}, "dd": {"dl"}}
 
 
@@ -84,7 +85,7 @@ class Node:
             elif isinstance(node, str):
                 out.append(node.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;"))
             else:
-                own = "".join(f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in node.attrs.items())
+                own = "".join([f' {k}="{v.replace("&", "&amp;").replace(chr(34), "&quot;")}"' for k, v in node.attrs.items()]) if node.attrs else ""
                 out.append(f"<{node.name}{own}>")
                 if node.name in VOID:
                     continue
@@ -96,6 +97,10 @@ class Node:
         return "".join(out)
 
 
+#: Comments and declarations between tags, which are no text.
+_UNSEEN = re.compile(r"(?s)<!--.*?(?:-->|\Z)|<![A-Za-z][^>]*>|<\?[^>]*>")
+
+
 def parse(text: str) -> Node:
     """The document's ``html`` element, always with a ``body``."""
     root, head, body = Node("html"), None, None
@@ -113,11 +118,11 @@ def parse(text: str) -> Node:
             stack[-1].add(scanner.unescape(chunk))
 
     def put_markup(lo: int, hi: int) -> None:
-        # Comments and declarations between tags are no text.
-        put_text(re.sub(r"(?s)<!--.*?(?:-->|\Z)|<![A-Za-z][^>]*>|<\?[^>]*>", "", text[lo:hi]))
+        put_text(_UNSEEN.sub("", text[lo:hi]) if text.find("<", lo, hi) >= 0 else text[lo:hi])
 
     for tag in scanner.tags(text, at):
-        put_markup(at, tag.start)
+        if at < tag.start:
+            put_markup(at, tag.start)
         at = tag.outer
         name = tag.name
         if tag.closing:
@@ -151,8 +156,8 @@ def parse(text: str) -> Node:
                 body = Node("body")
                 root.add(body)
             stack.append(body)
-        closes = _CLOSES.get(name, set()) | ({"p"} if name in _ENDS_P else set())
-        for k in range(len(stack) - 1, 0, -1):
+        closes = _CLOSED_BY.get(name)
+        for k in range(len(stack) - 1, 0, -1) if closes else ():
             if stack[k].name in _SCOPE.get(name, ()) or (stack[k].name in ("table", "td", "th") and name == "p"):
                 break
             if stack[k].name in closes:
@@ -224,7 +229,7 @@ def _compound(text: str) -> Callable[[Node], bool]:
             tests.append(place)
     if not tests and text != "*":
         raise ValueError("empty selector")
-    return lambda n: all(t(n) for t in tests)
+    return tests[0] if len(tests) == 1 else lambda n: all(t(n) for t in tests)
 
 
 def _complex(text: str) -> Callable[[Node], bool]:
@@ -253,7 +258,11 @@ def _complex(text: str) -> Callable[[Node], bool]:
             near = iter(before if how == "~" else before[:1])
         return any(test(n) and up(n, k - 1) for n in near)
 
-    return lambda n: chain[-1][1](n) and up(n, len(chain) - 1)
+    last = chain[-1][1]
+    return last if len(chain) == 1 else lambda n: last(n) and up(n, len(chain) - 1)
+
+
+_NAME = re.compile(r"[A-Za-z][\w-]*")
 
 
 @lru_cache(maxsize=256)
@@ -261,8 +270,12 @@ def selector(text: str) -> Callable[[Node], bool]:
     """A test for elements; raises ``ValueError`` for what is no selector."""
     if not isinstance(text, str) or not text.strip():
         raise ValueError("empty selector")
-    tests = [_complex(p) for p in re.split(r",(?![^\[(]*[\])])", text)]
-    return lambda n: any(t(n) for t in tests)
+    parts = [p.strip() for p in re.split(r",(?![^\[(]*[\])])", text)]
+    names = frozenset(p.lower() for p in parts if _NAME.fullmatch(p))
+    tests = [_complex(p) for p in parts if not _NAME.fullmatch(p)]
+    if not tests:
+        return lambda n: n.name in names
+    return lambda n: n.name in names or any([t(n) for t in tests])
 
 
 def select(root: Node, text: str, itself: bool = False) -> list[Node]:

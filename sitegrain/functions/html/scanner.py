@@ -16,6 +16,9 @@ _TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<\s*(?P<close>/?)\s*(?P<name>[A-Za-z
 _ATTRIBUTE = re.compile(r"""[\s/]*(?P<name>[^\s=/>]+)(?:\s*=\s*(?:"(?P<double>[^"]*)"?|'(?P<single>[^']*)'?|(?P<bare>[^\s>]*)))?""", re.S)
 
 
+_RAW_ENDS = {name: re.compile(rf"</\s*{name}\s*>", re.I) for name in RAW}
+
+
 class Tag(NamedTuple):
     """A tag: ``start`` to ``end``; its element's raw content to ``inner``, all to ``outer``."""
 
@@ -37,9 +40,9 @@ def tags(text: str, lo: int = 0, hi: int | None = None) -> Iterator[Tag]:
         if m["name"] is None:
             continue
         name, closing = m["name"].lower(), bool(m["close"])
-        inner = outer = m.end()
+        inner = outer = at
         if name in RAW and not closing and not m["rest"].rstrip().endswith("/"):
-            end = re.compile(rf"</\s*{re.escape(name)}\s*>", re.I).search(text, m.end(), hi)
+            end = _RAW_ENDS[name].search(text, at, hi)
             inner, outer = (end.start(), end.end()) if end else (hi, hi)
         yield Tag(name, closing, m.start(), m.end(), inner, outer, m["rest"])
         at = outer
@@ -49,8 +52,7 @@ def attributes(tag: Tag) -> dict[str, str]:
     """Attributes by lower-case name, the first of each; one without a value is empty."""
     out: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(tag.rest):
-        value = next((m[k] for k in ("double", "single", "bare") if m[k] is not None), "")
-        out.setdefault(m["name"].lower(), value)
+        out.setdefault(m["name"].lower(), "" if m.lastgroup == "name" else m[m.lastgroup])
     return out
 
 

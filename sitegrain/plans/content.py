@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 from ..config import Site
 from ..functions import accept, paths, text
 from ..operators import heads, plugins, records
+from ..sources import pages as source
 from . import inputs
 
 
 def extract_markdown(spark, sf):
-    out = records.with_content(inputs.page_rows(spark, sf), Site())
+    out = records.with_content(source.spread(inputs.page_rows(spark, sf)), Site())
     return out.select(F.col("page_ord").alias("page_id"), "content.*")
 
 
 def plain_text(spark, sf):
-    return records.with_plain_text(inputs.page_rows(spark, sf)).select(F.col("page_ord").alias("page_id"), "plain_text")
+    return records.with_plain_text(source.spread(inputs.page_rows(spark, sf))).select(F.col("page_ord").alias("page_id"), "plain_text")
 
 
 def page_records(spark, sf):

@@ -19,6 +19,17 @@ def pages(spark: SparkSession, folder: str, table: str = "pages") -> DataFrame:
     return raw.select(site.alias("site"), path.alias("pathname"), F.col("page_id").alias("page_ord"), "url", "html")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a scan dealt out to all task slots, if the scan has fewer partitions.
+
+    A file is read by one task for each of its row groups, and what is done to a page
+    costs far more than to move it.  A large table has more partitions than there are
+    slots and is left as it is, without a shuffle.
+    """
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(slots) if rows.rdd.getNumPartitions() < slots else rows
+
+
 def files(spark: SparkSession, folder: str, extension: str) -> DataFrame:
     """Files of a build by extension: ``href`` (path under the folder), ``body``, ``modified``.
 
