@@ -121,19 +121,23 @@ def text_index(df: DataFrame, site: Site, note: str = "") -> DataFrame:
     )
 
 
-def full_corpus(df: DataFrame, site: Site, note: str = "", body: str = "markdown", content: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(site, body): all selected pages' Markdown, each under its title, between rules.
-
-    ``content`` adds the column ``body`` to the selected pages, where they have none yet.
-    """
+def _page_text(df: DataFrame, body: str) -> Column:
+    """A page of the full corpus: title, address, description, content, rule."""
     d = F.coalesce(F.col("description"), F.lit("")) if "description" in df.columns else F.lit("")
-    part = F.concat(
+    return F.concat(
         F.lit("# "), F.col("title"), F.lit("\n\nURL: "), F.col("url"),
         F.when(d != "", F.concat(F.lit("\nDescription: "), d)).otherwise(""),
         F.lit("\n\n"), F.coalesce(F.col(body), F.lit("")), F.lit("\n\n---\n"),
     )
+
+
+def full_corpus(df: DataFrame, site: Site, note: str = "", body: str = "markdown", content: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(site, body): all selected pages' Markdown, each under its title, between rules.
+
+    ``content`` adds the column ``body`` to the selected pages, where they have none yet.
+    """
     selected = full_pages(df, site.corpus)
-    parts = (content(selected) if content else selected).select("site", "page_ord", part.alias("part"))
+    parts = (content(selected) if content else selected).select("site", "page_ord", _page_text(df, body).alias("part"))
     names = site_names(df, site)
     if site.corpus.max_pages is not None:
         over = refused(df, site.corpus.max_pages)
@@ -144,6 +148,57 @@ def full_corpus(df: DataFrame, site: Site, note: str = "", body: str = "markdown
     )
 
 
+def full_parts(
+    df: DataFrame,
+    site: Site,
+    note: str = "",
+    body: str = "markdown",
+    content: Callable[[DataFrame], DataFrame] | None = None,
+    part_bytes: int = 8 << 20,
+    part_pages: int = 1 << 12,
+) -> DataFrame:
+    """(site, part, piece, n_pages, body): the full corpus of each site in pieces of bounded size.
+
+    Joined in order of ``part`` and ``piece``, the bodies of a site are the text that
+    :func:`full_corpus` gives; the head of the text is part -1.  A part holds less
+    than ``part_pages`` + 1,024 pages in a row, and a piece of it is cut before the
+    first page that starts ``part_bytes`` or more after the start of one before; so a
+    site of any size is dealt to many tasks, and none holds more than a piece and a
+    page.  ``page_ord`` is an integer, different for the pages of a site.
+
+    How many pages stand before a run of 1,024 numbers is counted on those two
+    columns alone.  Content is made after that, and its text moves once: pieces are
+    grouped where their part already is.  ``content`` keeps the columns ``site``,
+    ``part`` and ``page_ord``.
+    """
+    if part_bytes < 1 or part_pages < 1:
+        raise ValueError("sizes of parts are 1 or more")
+    names = site_names(df, site)
+    # Null page numbers come first.
+    selected = full_pages(df, site.corpus).withColumn("_run", F.coalesce(F.shiftright("page_ord", 10), F.lit(-1 << 62)))
+    if site.corpus.max_pages is not None:
+        over = refused(df, site.corpus.max_pages)
+        selected, names = selected.join(over, "site", "left_anti"), names.join(over, "site", "left_anti")
+    runs = selected.groupBy("site", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("site").orderBy("_run")) - F.col("_n")
+    runs = runs.select("site", "_run", F.floor(before / part_pages).alias("part"))
+    placed = selected.join(runs, ["site", "_run"])
+    texts = (content(placed) if content else placed).select("site", "part", "page_ord", F.concat(F.lit("\n"), _page_text(df, body)).alias("text"))
+    ahead = Window.partitionBy("site", "part").orderBy("page_ord")
+    starts = F.sum(F.octet_length("text").cast("long")).over(ahead.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.octet_length("text")
+    cut = texts.withColumn("piece", F.floor(starts / part_bytes))
+    pieces = cut.groupBy("site", "part", "piece").agg(F.count(F.lit(1)).alias("n_pages"), F.expr("listagg(text, '') WITHIN GROUP (ORDER BY page_ord)").alias("body"))
+    zero = F.lit(0).cast("long")
+    heads = names.select("site", F.lit(-1).cast("long").alias("part"), zero.alias("piece"), zero.alias("n_pages"), F.concat(_header(F.col("name"), site.description, note), F.lit("---\n")).alias("body"))
+    return heads.unionByName(pieces)
+
+
+def part_files(parts: DataFrame, stem: str = "/llms-full") -> DataFrame:
+    """(site, served_path, content_type, body) of :func:`full_parts`, for the sinks; paths sort in the order of the text."""
+    path = F.format_string(f"{stem.replace('%', '%%')}/%010d-%06d.txt", F.col("part") + 1, F.col("piece"))
+    return parts.select("site", path.alias("served_path"), F.lit("text/plain; charset=utf-8").alias("content_type"), "body")
+
+
 def url_map(df: DataFrame, stamp: str) -> DataFrame:
     """(site, body): a Markdown table of pages, in order."""
     cells = [F.col("pathname"), F.col("md_href"), F.col("title"), F.coalesce(text.iso_date(F.col("modified")), F.lit("")) if "modified" in df.columns else F.lit("")]

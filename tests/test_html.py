@@ -154,3 +154,28 @@ def test_stages_isolate_failures(spark):
     out = chain.run("transform", spark.range(2))
     assert out.columns == ["id", "x"]
     assert chain.findings == [("a", "transform", "plugin-failed"), ("b", "transform", "plugin-invalid-result")]
+
+
+def test_pages_nested_without_end():
+    from sitegrain.functions.html import markdown
+
+    assert markdown.extract("<div>" * 2000 + "x")["markdown"] == "x"
+    assert markdown.extract("<ul><li>" * 300 + "x")["markdown"].strip().endswith("-   x")
+    assert markdown.extract("<ul><ul><li>a</li></ul><pre>b</pre></ul>")["output_characters"] > 0
+
+
+def test_no_content_inside_a_barred_document_element():
+    from sitegrain.functions.html import markdown
+
+    barred = markdown.Options(remove=(".off",))
+    found = markdown.extract('<html class="off"><body><main>a</main></body></html>', barred)
+    assert (found["strategy"], found["markdown"]) == ("document", "")
+    assert markdown.extract("<html><body>a</body></html>", markdown.Options(selectors=("html",)))["strategy"] == "html"
+
+
+def test_names_and_other_selectors_in_one_list():
+    from sitegrain.functions.html import dom
+
+    root = dom.parse("<body><nav>1</nav><p class=x>2</p><P>3</P></body>")
+    assert [n.text() for n in dom.select(root, "NAV, .x")] == ["1", "2"]
+    assert [n.text() for n in dom.select(root, "nav,p")] == ["1", "2", "3"]
