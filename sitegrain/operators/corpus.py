@@ -167,8 +167,8 @@ def full_parts(
     page.  ``page_ord`` is an integer, different for the pages of a site.
 
     How many pages stand before a run of 1,024 numbers is counted on those two
-    columns alone.  Content is made after that, and its text moves once: pieces are
-    grouped where their part already is.  ``content`` keeps the columns ``site``,
+    columns alone.  Pages then meet these counts, content is made, and its text moves
+    to its part; pieces are grouped there without a further shuffle.  ``content`` keeps the columns ``site``,
     ``part`` and ``page_ord``.
     """
     if part_bytes < 1 or part_pages < 1:
