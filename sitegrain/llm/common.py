@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +17,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_DIR = "sitegrain.staging.dir"
 #: Where staged tables are, by the identity of their DataFrame while it lives.
 _PLACES: dict[int, str] = {}
+#: Places of the tables staged in each open ``staging`` block, the innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,14 +60,18 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
     Later stages then depend on files that survive a lost executor, and what is
     read several times is computed once.  Give the table to :func:`discard` when
-    all that is made from it has been written.
+    all that is made from it has been written, or work in a :func:`staging` block.
+    What is left goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitegrain/{name}-{uuid.uuid4().hex}"
     with shuffles_removed(spark):
         df.write.option("compression", codec).parquet(path)
+    delete_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     _PLACES[id(out)] = path
+    if _OPEN:
+        _OPEN[-1].append(path)
     weakref.finalize(out, _PLACES.pop, id(out), None)
     return out
 
@@ -78,9 +84,51 @@ def discard(*tables: DataFrame | None) -> None:
     for table in tables:
         path = _PLACES.pop(id(table), None)
         if path:
-            spark = table.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete all tables that are staged in the block when it ends, also by an error.
+
+    Yields a function that keeps one of them, for whoever is outside the block.
+    What the block makes must have been written by then, or depend on kept tables
+    alone.
+    """
+    mine: list[str] = []
+    _OPEN.append(mine)
+
+    def keep(table: DataFrame) -> DataFrame:
+        path = _PLACES[id(table)]
+        mine.remove(path)
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _OPEN.pop()
+        for path in mine:
+            _delete(spark, path)
+
+
+def _place(spark: SparkSession, path: str):
+    """A path as Hadoop has it, and the file system that it is in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Let the file system delete what is at ``path`` when the driver's JVM ends."""
+    place, store = _place(spark, path)
+    store.deleteOnExit(place)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place, store = _place(spark, path)
+    store.delete(place, True)
+    store.cancelDeleteOnExit(place)
 
 
 def let(value: Column, body) -> Column:

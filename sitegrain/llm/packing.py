@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import name, shared_dir, shuffles_removed
+from .common import delete_at_exit, name, shared_dir, shuffles_removed
 from .tokens import default_vocabulary, encode_rows
 
 MAGIC = b"SGPF0001"
@@ -224,6 +224,12 @@ def read_token_files(segments: DataFrame) -> DataFrame:
 
 
 def digest(df: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Write all documents as token files in the shared folder and read them back."""
+    """Write all documents as token files in the shared folder and read them back.
+
+    The files are deleted when the driver's JVM ends; :func:`write_token_files`
+    writes some that stay.
+    """
     path = f"{shared_dir(df.sparkSession)}/sitegrain/tokens-{uuid.uuid4().hex}"
-    return read_token_files(write_token_files(df, path, vocabulary=vocabulary))
+    segments = write_token_files(df, path, vocabulary=vocabulary)
+    delete_at_exit(df.sparkSession, path)
+    return read_token_files(segments)
