@@ -23,8 +23,6 @@ from .common import discard, name, staged, unused, whole_row, word_count
 
 #: Patterns up to which their facts are broadcast (some 100 bytes each).
 BROADCAST_PATTERNS = 50_000
-#: Passes over what is left of a need, each with documents that still fit.
-FILLS = 8
 WEIGHTS = (5, 2, 1)
 
 
@@ -139,16 +137,15 @@ def _ranges(slim: DataFrame, need: Mapping[str, int]) -> dict[str, list[tuple[in
     """(least hash, most hash, most size) of the documents that fill each need.
 
     In order of their hash, documents are taken while they fit.  Those after the
-    one that did not, and smaller than what is left, are tried next, ``FILLS``
-    times or until a thousandth is left.  Cells of the hash tell where a need
-    ends; documents are looked at one by one in that cell alone.
+    one that did not, and no larger than what is left, are tried next, until none
+    is.  Every round moves on in the hash, and what is left shrinks below the
+    document that did not fit.  Cells of the hash tell where a need ends;
+    documents are looked at one by one in that cell alone.
     """
     spark = slim.sparkSession
     found: dict[str, list[tuple[int, int, int]]] = {p: [] for p in need}
     open_ = {p: (-(1 << 63), v) for p, v in need.items() if v > 0}
-    for _ in range(FILLS):
-        if not open_:
-            break
+    while open_:
         table = spark.createDataFrame([(p, lo, left) for p, (lo, left) in open_.items()], "pattern string, lo long, left long")
         small = F.broadcast if len(need) <= BROADCAST_PATTERNS else lambda t: t
         fits = slim.join(small(table), "pattern").filter("h >= lo AND size > 0 AND size <= left").withColumn("cell", F.shiftright("h", 52))
@@ -179,7 +176,7 @@ def _ranges(slim: DataFrame, need: Mapping[str, int]) -> dict[str, list[tuple[in
                 found[p].append((lo, hi, left))
             else:
                 hi = edge["first"]  # copies that fit one by one, but not together
-            if edge and left - taken > need[p] / 1000 and hi < (1 << 63) - 1:
+            if edge and left > taken and hi < (1 << 63) - 1:
                 after[p] = (hi + 1, left - taken)
         open_ = after
     return found
