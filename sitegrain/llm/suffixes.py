@@ -174,8 +174,8 @@ def _common(group: np.ndarray, rows: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return best
 
 
-def cut_back(group: np.ndarray, bodies: list[bytes], unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
-    """[lo, hi) of each context beyond which it holds no repeat; empty if it is alone.
+def cut_back(group: np.ndarray, bodies: list[bytes], unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """[lo, hi) of each context beyond which it holds no repeat; empty if it is alone.  And where its anchor is.
 
     Contexts of a group have its anchor in common.  A run that two of them share
     has its anchor at one place in it, so it reaches no further to either side of
@@ -201,13 +201,25 @@ def cut_back(group: np.ndarray, bodies: list[bytes], unit: repeats.Unit) -> tupl
         rows[row, column] = data[first[row] + step * column]
         reach.append(_common(group, rows, size))
     left, right = reach
-    return np.where(left >= 0, at - left, 0), np.where(left >= 0, at + unit.anchor + right, 0)
+    return np.where(left >= 0, at - left, 0), np.where(left >= 0, at + unit.anchor + right, 0), at
+
+
+#: Steps from the anchor by which shared stretches are measured, in groups of any size.
+STEP = 16
+
+
+def in_steps(lo: np.ndarray, hi: np.ndarray, at: np.ndarray, unit: repeats.Unit) -> tuple[np.ndarray, np.ndarray]:
+    """[lo, hi) around an anchor at ``at``, either side cut down to whole steps."""
+    end = at + unit.anchor
+    return np.where(hi > lo, at - (at - lo) // STEP * STEP, 0), np.where(hi > lo, end + (hi - end) // STEP * STEP, 0)
 
 
 def _expand(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
     """Resolve whole groups of contexts, which stand together, by the BWT.
 
-    Spans shorter than a run are what contexts without one share.
+    Spans shorter than a run are what a context shares with others around its
+    anchor.  It may be two partners' halves: whether a run of the whole length
+    repeats is decided by the BWT, so they are made shorter than one.
     """
 
     def repeated(held: list[tuple]) -> pa.RecordBatch:
@@ -232,14 +244,17 @@ def _expand(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
 
     def solve(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         unique = list({(r[1], r[2], r[3]): r for r in held}.values())
-        lo, hi = (x.tolist() for x in cut_back(np.array([r[0] for r in unique], np.int64), [r[5] for r in unique], unit))
-        left = [(*r[:3], r[3] + a, r[4], r[5][a:b]) for r, a, b in zip(unique, lo, hi, strict=True) if b - a >= unit.run]
+        lo, hi, at = cut_back(np.array([r[0] for r in unique], np.int64), [r[5] for r in unique], unit)
+        low, high = in_steps(lo, hi, at, unit)
+        begin = np.array([r[3] for r in unique], np.int64)
+        near = np.flatnonzero(np.array([r[4] for r in unique]) & (high - low >= PASSAGE))
+        left = [(*r[:3], r[3] + a, r[4], r[5][a:b]) for r, a, b in zip(unique, lo.tolist(), hi.tolist(), strict=True) if b - a >= unit.run]
         if left:
             yield repeated(left)
-        near = [(r[1], r[2], r[3] + a, r[3] + b) for r, a, b in zip(unique, lo, hi, strict=True) if r[4] and PASSAGE <= b - a < unit.run]
-        if near:
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*near, strict=True), kinds, strict=True)], ["k1", "k2", "lo", "hi"])
+        if len(near):
+            keys = (np.array([unique[k][j] for k in near.tolist()], np.int64) for j in (1, 2))
+            ends = ((begin + x)[near].astype(np.int32) for x in (low, np.minimum(high, low + unit.run - 1)))
+            yield pa.record_batch([*keys, *ends], ["k1", "k2", "lo", "hi"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -334,12 +349,8 @@ def _leveled(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
     return done.distinct()
 
 
-#: Steps by which the shared stretches around very frequent anchors are measured.
-_STEP = 16
-
-
 def _reached(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
-    """What contexts of very frequent anchors share with another one, to ``_STEP`` bytes.
+    """What contexts of very frequent anchors share with another one, to ``STEP`` bytes.
 
     Leading parts of both sides are hashed and counted, so no group is gathered.
     """
@@ -352,7 +363,7 @@ def _reached(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
                 raw = body.as_py()
                 at = _anchor_at(np.frombuffer(raw, np.uint8), h[r], unit)
                 for side, part in ((0, raw[:at][::-1]), (1, raw[at + unit.anchor :])):
-                    for n in range(0, len(part) + 1, _STEP):
+                    for n in range(0, len(part) + 1, STEP):
                         digest = hashlib.blake2b(b"%d %d " % (h[r], side) + part[:n], digest_size=16).digest()
                         one, two = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
                         for to, x in zip(out, (one, two, k1[r], k2[r], lo[r] + at, side, n), strict=True):
@@ -414,7 +425,7 @@ def cut(df: DataFrame, text: str = "text", hashed: bool = False) -> DataFrame:
     the text is not returned.  ``longest_shared`` is the longest removed run, or
     else the longest stretch of ``PASSAGE`` bytes or more that is seen to stand
     elsewhere too: around an anchor of the text, to either side as far as any
-    other text agrees (to 16 bytes for an anchor of more than ``GROUP`` contexts).
+    other text agrees, in whole steps of 16 bytes from the anchor, and 399 at most.
     It is 0 if there is none; a passage below 400 bytes without an anchor is not
     seen.
 
