@@ -17,6 +17,8 @@ from .common import maybe_in, name, staged, whole_row
 
 #: What a row counts for besides its text, in bytes.
 ROW_BYTES = 16
+#: Copies of one row that are made again in one place.
+COPIES = 1 << 12
 
 
 def text_bytes(text: Column) -> Column:
@@ -28,8 +30,9 @@ def _spread(rows: DataFrame) -> DataFrame:
     """Add ``copy``: 0, or for rows that are alike in ``h1`` and ``h2`` 0, 1, 2, ...
 
     Rows that are alike are counted before they meet, one of them is kept per
-    task, and the count makes the copies again; so any number of them is dealt to
-    as many buckets, and it makes no difference which of them was where.
+    task, and the count makes the copies again, ``COPIES`` of them in a place; so
+    any number of them is dealt to as many buckets, no task has to make them all,
+    and it makes no difference which of them was where.
     """
     key = ["h1", "h2"]
     alike = common.staged(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "alike")
@@ -38,7 +41,10 @@ def _spread(rows: DataFrame) -> DataFrame:
     others = maybe_in(rows, key, alike)
     once = others.join(alike.select(*key), key, "left_anti").select(*rows.columns, zero)
     one = others.join(alike.select(*key), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
-    again = one.join(alike, key).select(*rows.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    part = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))
+    dealt = one.join(alike, key).select(*rows.columns, "n", F.explode(part).alias("part")).repartition(*key, "part")
+    begin = F.col("part") * COPIES
+    again = dealt.select(*rows.columns, F.explode(F.sequence(begin, F.least("n", begin + COPIES) - 1)).alias("copy"))
     return alone.unionByName(once).unionByName(again)
 
 
