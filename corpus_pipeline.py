@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sitegrain.llm import decontamination, jaccard, mixing, packing, quality
-from sitegrain.llm.common import discard, read, staged
+from sitegrain.llm.common import discard, read, staged, staging
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each but the last written and read again."""
+    """All stages over ``documents``, each but the last written and read again.
+
+    What a stage staged for itself, and its input, go as soon as its result is
+    written.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, staged(stage(spark, docs, sf_dir), name)
+        before = docs
+        with staging(spark) as keep:
+            docs = keep(staged(stage(spark, before, sf_dir), name))
         discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
