@@ -349,39 +349,79 @@ def _leveled(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
     return done.distinct()
 
 
-def _reached(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
-    """What contexts of very frequent anchors share with another one, to ``STEP`` bytes.
+_SIDE = "h long, side int, part binary, k1 long, k2 long, at int"
+_SIDES = ("h", "side", "part", "k1", "k2", "at")
 
-    Leading parts of both sides are hashed and counted, so no group is gathered.
-    """
+
+def _sides(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
+    """Bytes to either side of each context's anchor, read away from it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             h, k1, k2, lo = (batch.column(i).to_pylist() for i in range(4))
             for r, body in enumerate(batch.column(4)):
                 raw = body.as_py()
                 at = _anchor_at(np.frombuffer(raw, np.uint8), h[r], unit)
                 for side, part in ((0, raw[:at][::-1]), (1, raw[at + unit.anchor :])):
-                    for n in range(0, len(part) + 1, STEP):
-                        digest = hashlib.blake2b(b"%d %d " % (h[r], side) + part[:n], digest_size=16).digest()
-                        one, two = (int.from_bytes(digest[i : i + 8], "little", signed=True) for i in (0, 8))
-                        for to, x in zip(out, (one, two, k1[r], k2[r], lo[r] + at, side, n), strict=True):
-                            to.append(x)
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["c1", "c2", "k1", "k2", "at", "side", "n"])
-
-    parts = rows.select("h", "k1", "k2", "lo", "body").mapInArrow(scan, "c1 long, c2 long, k1 long, k2 long, at int, side int, n int")
-    parts = staged(parts, "reached")
-    who = F.struct("k1", "k2", "at")
-    again = parts.groupBy("c1", "c2").agg(F.min(who).alias("one"), F.max(who).alias("two")).filter("one != two").select("c1", "c2")
-    again = staged(again, "again")
-    reach = parts.join(again, ["c1", "c2"]).groupBy("k1", "k2", "at").agg(
-        *(F.coalesce(F.max(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1))
-    )
+                    for to, x in zip(out, (h[r], side, part, k1[r], k2[r], lo[r] + at), strict=True):
+                        to.append(x)
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], list(_SIDES))
+
+    return rows.select("h", "k1", "k2", "lo", "body").mapInArrow(scan, _SIDE)
+
+
+def _agreed(sides: DataFrame) -> DataFrame:
+    """``n``: bytes that each of ``sides``, in order, shares with the one before or after it in its partition.
+
+    In whole steps.  ``edge`` tells the first and the last of a partition.
+    """
+
+    def common(one: tuple, two: tuple) -> int:
+        if one[:2] != two[:2]:
+            return 0
+        n, most = 0, min(len(one[2]), len(two[2]))
+        while n + STEP <= most and one[2][n : n + STEP] == two[2][n : n + STEP]:
+            n += STEP
+        return n
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [*_SIDES, "n", "edge"])
+
+        held, before, first = None, 0, True
+        for batch in batches:
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is not None:
+                    after = common(held, row)
+                    out.append((*held, max(before, after), first))
+                    before, first = after, False
+                held = row
+            if out:
+                yield done(out)
+        if held is not None:
+            yield done([(*held, before, True)])
+
+    return sides.select(*_SIDES).mapInArrow(scan, f"{_SIDE}, n int, edge boolean")
+
+
+def _reached(rows: DataFrame, unit: repeats.Unit) -> DataFrame:
+    """What contexts of very frequent anchors share with another one, to ``STEP`` bytes.
+
+    Both sides of all contexts are sorted, by ranges: none shares more with another
+    than with a neighbour, so there is one row a side and no group is gathered.
+    Neighbours in two partitions meet among the edges of partitions.
+    """
+    sides = staged(_sides(rows.dropDuplicates(["h", "k1", "k2", "lo"]), unit), "sides")
+    inner = staged(_agreed(sides.repartitionByRange(*_SIDES).sortWithinPartitions(*_SIDES)), "agreed")
+    outer = _agreed(inner.filter("edge").coalesce(1).sortWithinPartitions(*_SIDES))
+    reach = inner.unionByName(outer).groupBy("k1", "k2", "at").agg(*(F.coalesce(F.max(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in (0, 1)))
     near = reach.select("k1", "k2", (F.col("at") - F.col("n0")).alias("lo"), (F.col("at") + unit.anchor + F.col("n1")).alias("hi"))
     near = staged(near.filter(F.col("hi") - F.col("lo") >= PASSAGE), "near")
-    discard(parts, again)
+    discard(sides, inner)
     # Longer stretches may be two partners' halves: whether they repeat is decided run by run.
     return near.withColumn("hi", F.least("hi", F.col("lo") + unit.run - 1))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from sitegrain.llm import decontamination, jaccard, mixing, packing, quality, sharding, substrings, suffixes, tokens, urls
+from sitegrain.llm.kernels import _BYTE64, mix, run_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -468,6 +470,44 @@ def test_passages_below_the_removed_length_are_reported(spark, monkeypatch):
     assert seen[0] == seen[1]
 
 
+def test_frequent_contexts_meet_their_neighbours_alone(spark, monkeypatch):
+    """What sides share equals brute force over all pairs, by two rows a context."""
+    rng = random.Random(9)
+    anchor = bytes(rng.randrange(97, 123) for _ in range(64))
+    (h,) = mix(run_hash(_BYTE64[0][np.frombuffer(anchor, np.uint8)], 64)).view(np.int64).tolist()
+    rows = []
+    for k in range(90):
+        left, right = (bytearray(b"xyz" * 112) for _ in range(2))
+        for part in (left, right):
+            for at in rng.sample(range(336), k % 3):
+                part[at] = 48 + rng.randrange(10)
+        cut = rng.choice([0, 0, 100])
+        rows.append((h, k // 2, 7, 1000 * (k % 2), True, bytes(left[cut:] + anchor + right)))
+    table = spark.createDataFrame([*rows, *rows[:20]], suffixes._CONTEXT).repartition(5)
+    sizes, before = [], suffixes.staged
+
+    def staged(df, name):
+        out = before(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffixes, "staged", staged)
+    got = {(r.k1, r.lo, r.hi) for r in suffixes._reached(table, suffixes.UNIT).collect()}
+    want = set()
+    for _, k1, _, lo, _, body in rows:
+        at = body.index(anchor)
+        n = [0, 0]
+        for _, j1, _, jo, _, other in rows:
+            if (j1, jo) != (k1, lo):
+                b = other.index(anchor)
+                for side, (x, y) in enumerate(((body[:at][::-1], other[:b][::-1]), (body[at + 64 :], other[b + 64 :]))):
+                    n[side] = max(n[side], len(os.path.commonprefix([x, y])) // 16 * 16)
+        if n[0] + n[1] + 64 >= suffixes.PASSAGE:
+            want.add((k1, lo + at - n[0], min(lo + at + 64 + n[1], lo + at - n[0] + 399)))
+    assert got == want and len(want) > 30
+    assert max(sizes) <= 2 * len(rows)
+
+
 @pytest.mark.parametrize("module", [suffixes, substrings])
 def test_very_long_texts_are_cut_whole(spark, module):
     """A text of 5 MB, past the span that is looked at at a time, with a passage near either end."""
