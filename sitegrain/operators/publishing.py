@@ -173,12 +173,15 @@ def publish(
         asked = claims.select("site", "dest").unionByName(known.where("status = 'emitted'").select("site", F.col("pathname").alias("dest"))).distinct()
         now = transactions.fingerprints(asked.select(_file()), root).withColumnRenamed("etag", "now")
         outputs = asked.withColumn("path", _file()).join(now, "path").select("site", "dest", F.lit("output").alias("kind"), F.col("now").alias("etag"))
+        # Files are read once: what was found is asked for again below, several times.
+        folder = f"{root.rstrip('/')}/.manifest-{name}"
+        outputs.write.parquet(f"{folder}/_outputs")
+        outputs = spark.read.schema(outputs.schema).parquet(f"{folder}/_outputs")
         files = outputs if public is None else outputs.unionByName(public.select("site", "dest", F.lit("public").alias("kind"), F.lit(None).cast("string").alias("etag")))
         decided = ownership.resolve(ownership.externally_owned(ownership.conflicts(claims), routes, files, known))
         there = outputs.select("site", "dest", F.col("etag").alias("now"))
         decided = decided.join(there, ["site", "dest"], "left").withColumns({"etag": text.etag(F.col("body")), "bytes": F.octet_length("body")}).drop("body")
         # Decisions are made once, over the tree as it is; bodies join again only to be written.
-        folder = f"{root.rstrip('/')}/.manifest-{name}"
         decided.write.parquet(f"{folder}/_decisions")
         decided = spark.read.parquet(f"{folder}/_decisions")
         blocking = decided.where("status = 'conflict'").agg(F.count("*").alias("n"), F.min("dest").alias("dest")).first()

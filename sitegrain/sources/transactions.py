@@ -17,6 +17,7 @@ Moves stay within one file system, where they are renames.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import os
 import re
@@ -57,30 +58,54 @@ def fault(path: str) -> str | None:
     return "reserved name" if parts[0].startswith(_FOLDER) else None
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by path, as each means work on a file, however few bytes they are."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def _there(system: _fs.FileSystem, path: str) -> _fs.FileType:
     return system.get_file_info(path).type
 
 
-def _confined(system: _fs.FileSystem, base: str, path: str) -> None:
-    """A link among a file's folders may not lead out of the root."""
-    if isinstance(system, _fs.LocalFileSystem):
+def _confined(system: _fs.FileSystem, base: str, path: str, seen: set[tuple[str, str]] | None = None) -> None:
+    """A link among a file's folders may not lead out of the root.
+
+    ``seen`` has the folders that the same batch has asked about.
+    """
+    seen, here = set() if seen is None else seen, ("within", path.rpartition("/")[0])
+    if isinstance(system, _fs.LocalFileSystem) and here not in seen:
         parent, top = os.path.realpath(os.path.dirname(path)), os.path.realpath(base)
         if parent != top and not parent.startswith(top + os.sep):
             raise TransactionError(f"{path} leads out of {base}")
+        seen.add(here)
+
+
+def _hashed(path: str) -> str:
+    """Where a path's file stands in a folder of a transaction: dealt out to 256 folders."""
+    name = hashlib.sha256(path.encode()).hexdigest()
+    return f"{name[:2]}/{name}"
 
 
-def _one(system: _fs.FileSystem, base: str, folder: str, kind: str, path: str, body: bytes) -> tuple:
+def _made(system: _fs.FileSystem, folder: str, seen: set[tuple[str, str]] | None) -> None:
+    if seen is None or ("made", folder) not in seen:
+        system.create_dir(folder, recursive=True)
+        if seen is not None:
+            seen.add(("made", folder))
+
+
+def _one(system: _fs.FileSystem, base: str, folder: str, kind: str, path: str, body: bytes, seen: set[tuple[str, str]] | None = None) -> tuple:
     """Stage one operation: (staged, etag, bytes, existed)."""
     if reason := fault(path):
         raise TransactionError(reason)
-    _confined(system, base, f"{base}/{path}")
+    _confined(system, base, f"{base}/{path}", seen)
     was = _there(system, f"{base}/{path}")
     if was == _fs.FileType.Directory:
         raise TransactionError("is a folder")
     existed = was == _fs.FileType.File
     if kind != "write":
         return None, None, None, existed
-    staged = hashlib.sha256(path.encode()).hexdigest()
+    staged = _hashed(path)
+    _made(system, f"{folder}/{staged[:2]}", seen)
     with system.open_output_stream(f"{folder}/{staged}") as out:
         out.write(body)
     return staged, f'"{hashlib.sha256(body).hexdigest()}"', len(body), existed
@@ -92,10 +117,11 @@ def _stage(root: str, name: str) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         folder = f"{base}/{_FOLDER}{name}/new"
         system.create_dir(folder, recursive=True)
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
+            seen: set[tuple[str, str]] = set()
             for kind, path, body in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
-                    rows.append((kind, path, *_one(system, base, folder, kind, path, body or b""), None))
+                    rows.append((kind, path, *_one(system, base, folder, kind, path, body or b"", seen), None))
                 except Exception as error:
                     rows.append((kind, path, None, None, None, None, str(error)))
             kinds = [pa.string()] * 4 + [pa.int64(), pa.bool_(), pa.string()]
@@ -111,9 +137,10 @@ def _each(root: str, name: str, act: Callable) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = at(root)
         for batch in batches:
+            seen: set[tuple[str, str]] = set()
             for row in batch.to_pylist():
                 try:
-                    act(system, base, f"{base}/{_FOLDER}{name}", row)
+                    act(system, base, f"{base}/{_FOLDER}{name}", row, seen)
                 except Exception as error:
                     yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([f"{type(error).__name__}: {error}"])], ["path", "error"])
                     return
@@ -122,29 +149,29 @@ def _each(root: str, name: str, act: Callable) -> Callable[[Iterator[pa.RecordBa
 
 
 def _backup(folder: str, path: str) -> str:
-    return f"{folder}/old/{hashlib.sha256(path.encode()).hexdigest()}"
+    return f"{folder}/old/{_hashed(path)}"
 
 
 def _apply(before: Callable[[str], None] | None) -> Callable:
-    def act(system: _fs.FileSystem, base: str, folder: str, row: dict) -> None:
+    def act(system: _fs.FileSystem, base: str, folder: str, row: dict, seen: set[tuple[str, str]] | None = None) -> None:
         path, new, old = f"{base}/{row['path']}", f"{folder}/new/{row['staged']}", _backup(folder, row["path"])
         if before is not None:
             before(row["path"])
-        _confined(system, base, path)
+        _confined(system, base, path, seen)
         waiting = row["kind"] == "delete" or _there(system, new) == _fs.FileType.File
         if row["existed"] and _there(system, old) == _fs.FileType.NotFound:
-            system.create_dir(f"{folder}/old", recursive=True)
+            _made(system, old.rpartition("/")[0], seen)
             system.move(path, old)
         elif not row["existed"] and waiting and _there(system, path) != _fs.FileType.NotFound:
             raise TransactionError(f"{row['path']} appeared meanwhile")
         if row["kind"] == "write" and waiting:
-            system.create_dir(path.rpartition("/")[0], recursive=True)
+            _made(system, path.rpartition("/")[0], seen)
             system.move(new, path)
 
     return act
 
 
-def _undo(system: _fs.FileSystem, base: str, folder: str, row: dict) -> None:
+def _undo(system: _fs.FileSystem, base: str, folder: str, row: dict, seen: set[tuple[str, str]] | None = None) -> None:
     path, old = f"{base}/{row['path']}", _backup(folder, row["path"])
     installed = row["kind"] == "write" and _there(system, f"{folder}/new/{row['staged']}") == _fs.FileType.NotFound
     if installed and _there(system, path) == _fs.FileType.File and (not row["existed"] or _there(system, old) == _fs.FileType.File):
@@ -153,6 +180,13 @@ def _undo(system: _fs.FileSystem, base: str, folder: str, row: dict) -> None:
         system.move(old, path)
 
 
+def _drop(system: _fs.FileSystem, base: str, folder: str, row: dict, seen: set[tuple[str, str]] | None = None) -> None:
+    """Delete what was there before, once all is committed."""
+    old = _backup(folder, row["path"])
+    if _there(system, old) == _fs.FileType.File:
+        system.delete_file(old)
+
+
 def _first_error(rows: DataFrame) -> str | None:
     found = rows.agg(F.min(F.concat_ws(": ", "path", "error")).alias("error")).first()
     return found.error
@@ -164,7 +198,7 @@ def roll_back(spark: SparkSession, root: str, name: str) -> None:
     folder = f"{base}/{_FOLDER}{name}"
     if _there(system, f"{folder}/journal/_SUCCESS") == _fs.FileType.File:
         journal = spark.read.schema(_JOURNAL).parquet(f"{root.rstrip('/')}/{_FOLDER}{name}/journal").where("error IS NULL")
-        if error := _first_error(journal.mapInArrow(_each(root, name, _undo), "path string, error string")):
+        if error := _first_error(spread(journal).mapInArrow(_each(root, name, _undo), "path string, error string")):
             raise TransactionError(f"could not restore {error}; what was there is kept in {folder}", restored=False)
     if _there(system, folder) != _fs.FileType.NotFound:
         system.delete_dir(folder)
@@ -209,11 +243,11 @@ def commit(
         raise TransactionError(f"{folder} is there already")
     try:
         journal = f"{root.rstrip('/')}/{_FOLDER}{name}/journal"
-        operations.select("kind", "path", F.col("body").cast("binary")).mapInArrow(_stage(root, name), _JOURNAL).write.parquet(journal)
+        spread(operations.select("kind", "path", F.col("body").cast("binary"))).mapInArrow(_stage(root, name), _JOURNAL).write.parquet(journal)
         staged = spark.read.schema(_JOURNAL).parquet(journal)
         if error := _first_error(staged.where("error IS NOT NULL")):
             raise TransactionError(error)
-        if error := _first_error(staged.mapInArrow(_each(root, name, _apply(before_apply)), "path string, error string")):
+        if error := _first_error(spread(staged).mapInArrow(_each(root, name, _apply(before_apply)), "path string, error string")):
             raise TransactionError(error)
         done = staged.count()
         if then is not None:
@@ -223,6 +257,9 @@ def commit(
     except BaseException:
         roll_back(spark, root, name)
         raise
+    # Tasks delete the files; what they could not goes with the folder.
+    with contextlib.suppress(Exception):
+        spread(staged.where("existed")).mapInArrow(_each(root, name, _drop), "path string, error string").count()
     system.delete_dir(folder)
     return done
 
@@ -244,7 +281,7 @@ def fingerprints(paths: DataFrame, root: str) -> DataFrame:
                     tags.append(f'"{told.hexdigest()}"')
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(tags, pa.string())], ["path", "etag"])
 
-    return paths.select("path").mapInArrow(scan, "path string, etag string")
+    return spread(paths.select("path")).mapInArrow(scan, "path string, etag string")
 
 
 def replace_each(rows: DataFrame, root: str) -> int:
@@ -253,8 +290,8 @@ def replace_each(rows: DataFrame, root: str) -> int:
     For what has to be done where it can be, such as redactions after a failure.
     """
 
-    def act(system: _fs.FileSystem, base: str, folder: str, row: dict) -> None:
-        _confined(system, base, f"{base}/{row['path']}")
+    def act(system: _fs.FileSystem, base: str, folder: str, row: dict, seen: set[tuple[str, str]] | None = None) -> None:
+        _confined(system, base, f"{base}/{row['path']}", seen)
         beside = f"{folder}-{hashlib.sha256(row['path'].encode()).hexdigest()}"
         with system.open_output_stream(beside) as out:
             out.write(row["body"])

@@ -130,6 +130,26 @@ def test_a_task_that_runs_again_changes_nothing(spark, root):
         assert tree(root) == {"a": b"old"}
 
 
+def test_files_are_dealt_out_to_tasks(spark, root, tmp_path):
+    """Operations that arrive in one small partition are carried out by several tasks."""
+    from pyspark import TaskContext
+
+    tasks = tmp_path / "tasks"
+    tasks.mkdir()
+
+    def note(path):
+        (tasks / str(TaskContext.get().partitionId())).touch()
+
+    change = ops(spark, [("write", f"d/f{k}", "x") for k in range(40)]).coalesce(1)
+    assert transactions.commit(change, root, before_apply=note) == 40
+    assert len(os.listdir(tasks)) > 2 and len(tree(root)) == 40
+    paths = ops(spark, [("write", f"d/f{k}", "x") for k in range(40)]).coalesce(1)
+    there = transactions.fingerprints(paths, root)
+    assert there.count() == 40 and there.rdd.getNumPartitions() > 2
+    assert transactions.commit(ops(spark, [("delete" if k % 2 else "write", f"d/f{k}", "y") for k in range(40)]).coalesce(1), root) == 40
+    assert tree(root) == {f"d/f{k}": b"y" for k in range(0, 40, 2)} and not hidden(root)
+
+
 def test_publish_again_and_again(spark, root):
     first = publishing.publish(claims(spark, [{"dest": "/a.md"}, {"dest": "/b.md", "body": "x"}, {"dest": "/g1", "grp": "g"}, {"dest": "/g2", "grp": "g"}]), root)
     assert first.operations == 4 and set(tree(root)) == {"s/a.md", "s/b.md", "s/g1", "s/g2"}
