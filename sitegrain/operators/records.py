@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,27 +65,54 @@ def site_order(pages: DataFrame, by: str = "canonical_url", out: str = "place")
     return pages.withColumn(out, F.row_number().over(order))
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, function) -> DataFrame:
-    """Add a column that a Python function makes of each text, in Arrow batches."""
+#: Bytes of text that a task holds as Python objects at a time.
+PIECE = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices with about ``PIECE`` bytes in column ``at``, one row at least.
+
+    A batch of Spark's has 10,000 rows, whatever their length.
+    """
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + PIECE, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, function, drop: bool = False) -> DataFrame:
+    """Add a column that a Python function makes of each text, in Arrow batches.
+
+    ``drop`` leaves the text itself out, which then need not be handed back.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
-    schema = T.StructType([*df.drop(out).schema.fields, T.StructField(out, kind)])
     df = df.drop(out)
     at = df.columns.index(column)
+    kept = [k for k in range(len(df.columns)) if not (drop and k == at)]
+    schema = T.StructType([*(df.schema.fields[k] for k in kept), T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_type(kind)
-        for batch in batches:
-            values = [None if v is None else function(v) for v in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, out])
+        for whole in batches:
+            for batch in pieces(whole, at):
+                values = [None if v is None else function(v) for v in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(values, arrow)], names=[*(batch.schema.names[k] for k in kept), out])
 
     return df.mapInArrow(run, schema)
 
 
-def with_head(df: DataFrame, html: str = "html", out: str = "head") -> DataFrame:
-    """Add what each page's tags say of it, as a struct; null HTML gives null."""
+def with_head(df: DataFrame, html: str = "html", out: str = "head", edit: Callable[[str], str] | None = None, drop: bool = False) -> DataFrame:
+    """Add what each page's tags say of it, as a struct; null HTML gives null.
+
+    ``edit`` is done to a page before it is read, in the same process; ``drop``
+    leaves the pages out of the result.  With an edit they are left out always.
+    """
     names = [f.name for f in HEAD.fields]
-    return _mapped(df, html, out, HEAD, lambda v: _picked(v, names))
+    return _mapped(df, html, out, HEAD, lambda v: _picked(v if edit is None else edit(v), names), drop or edit is not None)
 
 
 def _picked(text_: str, names: list[str]) -> dict:
@@ -126,10 +155,11 @@ def with_content(df: DataFrame, site: Site, html: str = "html", url: str | None
         from pyspark.sql.pandas.types import to_arrow_type
 
         arrow = to_arrow_type(CONTENT)
-        for batch in batches:
-            rows = zip(batch.column(at_html).to_pylist(), batch.column(at_url).to_pylist(), strict=True)
-            values = [None if h is None else markdown.extract(h, options, u) for h, u in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, out])
+        for whole in batches:
+            for batch in pieces(whole, at_html):
+                rows = zip(batch.column(at_html).to_pylist(), batch.column(at_url).to_pylist(), strict=True)
+                values = [None if h is None else markdown.extract(h, options, u) for h, u in rows]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, out])
 
     return df.drop(out).mapInArrow(run, schema)
 
