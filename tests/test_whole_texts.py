@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
 from sitegrain.config import Site
 from sitegrain.functions.html import markdown
+from sitegrain.operators import heads, records
 from sitegrain.plans import registry
 
 HTML = "<html><head><title>{0}</title></head><body><main><h1>{0}</h1>{1}</main></body></html>"
@@ -37,3 +39,20 @@ def test_text_functions_read_past_the_60th_character(spark, tmp_path):
     assert got[0].cell.startswith("x" * 80 + " & < \\| \\\\   end <a")
     assert got[0].quoted.startswith('"' + "x" * 80 + " & < | \\\\ \\n end <a")
     assert got[1].back.startswith("y" * 60 + "&amp; <a")
+
+
+def test_pages_become_objects_in_pieces_of_bounded_size():
+    """A batch of any number of rows is worked on a megabyte at a time, no row lost."""
+    texts = ["x" * 1000] * 5000 + [None, "", "é" * (2 << 20), None] + ["y" * 700_000] * 3
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["k", "html"])
+    parts = list(records.pieces(batch, 1))
+    assert pa.Table.from_batches(parts) == pa.Table.from_batches([batch])
+    assert all(p.num_rows == 1 or sum(len((v or "").encode()) for v in p.column(1).to_pylist()) <= records.PIECE for p in parts)
+    assert list(records.pieces(batch.slice(0, 0), 1)) == [] and len(parts) > 8
+
+
+def test_heads_of_edited_pages_without_the_pages(spark):
+    pages = spark.createDataFrame([(1, "<head></head>"), (2, "<head><link rel=alternate type=text/markdown href=/x></head>"), (3, None)], "k int, html string")
+    out = records.with_head(pages, edit=lambda v: heads.with_alternate(v, "/self.md", "auto"))
+    assert out.columns == ["k", "head"]
+    assert {r.k: r.head and [x.href for x in r.head.links] for r in out.collect()} == {1: ["/self.md"], 2: ["/x"], 3: None}
