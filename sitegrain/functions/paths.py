@@ -151,6 +151,16 @@ def ancestors(path: Column) -> Column:
     )
 
 
+def folder(path: Column) -> Column:
+    """What has as :func:`ancestors` those of a path but for the path itself; null for the root.
+
+    The folder where the path is one that ``ancestors`` gives, else (as ``/a//b`` or
+    ``a``) the path as it is.
+    """
+    plain = path.startswith("/") & ~path.endswith("/") & ~path.contains("//")
+    return F.when(path == "/", None).when(plain, F.left(path, F.length(path) - F.length(F.substring_index(path, "/", -1)) - 1)).otherwise(path)
+
+
 def is_loopback(host: Column) -> Column:
     """localhost and its subdomains, 127/8, ``::1``, ``::``, and what maps there."""
     h = F.regexp_replace(F.regexp_replace(F.lower(host), r"\A\[|\]\z", ""), r"\.\z", "")

@@ -20,14 +20,15 @@ def conflicts(claims: DataFrame) -> DataFrame:
 
     All claims on a served key, or on a destination, that two or more share; and
     all whose destination is inside another's or around it.  Ancestry is an equi
-    join on the exploded ancestors, not a comparison of all pairs.
+    join on the exploded ancestors of each folder, not a comparison of all pairs.
     """
     keyed = repeated(claims, ["site", "served_key"]).withColumn("by_key", F.lit(True))
     placed = repeated(claims, ["site", "dest"]).withColumn("by_dest", F.lit(True))
-    dests = claims.select("site", "dest").distinct()
-    up = dests.select("site", F.col("dest").alias("inner"), F.explode(paths.ancestors(F.col("dest"))).alias("outer")).filter("inner != outer")
-    pairs = up.join(dests.withColumnRenamed("dest", "outer"), ["site", "outer"], "left_semi")
-    nested = pairs.select("site", F.col("inner").alias("dest")).unionByName(pairs.select("site", F.col("outer").alias("dest"))).distinct().withColumn("nested", F.lit(True))
+    dests = claims.select("site", "dest", paths.folder(F.col("dest")).alias("folder"))
+    up = dests.select("site", "folder").distinct().withColumn("dest", F.explode(paths.ancestors(F.col("folder"))))
+    around = dests.select("site", "dest").join(up.select("site", "dest").distinct(), ["site", "dest"], "left_semi").distinct()
+    inside = dests.join(up.join(around, ["site", "dest"], "left_semi").select("site", "folder").distinct(), ["site", "folder"], "left_semi").select("site", "dest")
+    nested = around.unionByName(inside).distinct().withColumn("nested", F.lit(True))
     no = F.lit(False)
     return (
         claims.join(keyed, ["site", "served_key"], "left").join(placed, ["site", "dest"], "left").join(nested, ["site", "dest"], "left")

@@ -30,8 +30,9 @@ def within_root(root: str, path: str) -> str:
 def check_destinations(claims: DataFrame) -> DataFrame:
     """Destinations that cannot be written together: twice the same, or one inside another."""
     twice = claims.groupBy("site", "dest").count().filter("count > 1").select("site", "dest", F.lit("duplicate").alias("problem"))
-    up = claims.select("site", F.col("dest").alias("inner"), F.explode(paths.ancestors(F.col("dest"))).alias("dest")).filter("inner != dest")
-    nested = claims.select("site", "dest").distinct().join(up.select("site", "dest").distinct(), ["site", "dest"], "left_semi")
+    folders = claims.select("site", paths.folder(F.col("dest")).alias("folder")).distinct()
+    up = folders.select("site", F.explode(paths.ancestors(F.col("folder"))).alias("dest")).distinct()
+    nested = claims.select("site", "dest").join(up, ["site", "dest"], "left_semi").distinct()
     return twice.unionByName(nested.select("site", "dest", F.lit("nested").alias("problem")))
 
 

@@ -12,7 +12,9 @@ Tasks do the work, the driver sees counts and the first fault only:
 3. *commit*: the marker ``APPLIED``, then the folder goes.  Or *roll back* from the
    journal, as often as needed; :func:`recover` does so for a driver that died.
 
-Moves stay within one file system, where they are renames.
+Moves stay within one file system, where they are renames; on a local disk they are
+a link and an unlink, as renames between folders wait there for one another.  A task
+may end between the two, so one file can have both names when another goes on.
 """
 
 from __future__ import annotations
@@ -93,6 +95,30 @@ def _made(system: _fs.FileSystem, folder: str, seen: set[tuple[str, str]] | None
             seen.add(("made", folder))
 
 
+def _same(system: _fs.FileSystem, one: str, other: str) -> bool:
+    """Whether two names stand for one file: a move that ended half-way."""
+    try:
+        return isinstance(system, _fs.LocalFileSystem) and os.path.samestat(os.lstat(one), os.lstat(other))
+    except FileNotFoundError:
+        return False
+
+
+def _move(system: _fs.FileSystem, path: str, to: str) -> None:
+    """Move a file, in place of what is there, or go on with such a move."""
+    if isinstance(system, _fs.LocalFileSystem):
+        try:
+            os.link(path, to, follow_symlinks=False)
+            linked = True
+        except OSError:
+            # Where there can be no link, or something else is in its place, it is a rename.
+            linked = _same(system, path, to)
+        if linked:
+            with contextlib.suppress(FileNotFoundError):
+                os.unlink(path)
+            return
+    system.move(path, to)
+
+
 def _one(system: _fs.FileSystem, base: str, folder: str, kind: str, path: str, body: bytes, seen: set[tuple[str, str]] | None = None) -> tuple:
     """Stage one operation: (staged, etag, bytes, existed)."""
     if reason := fault(path):
@@ -159,25 +185,26 @@ def _apply(before: Callable[[str], None] | None) -> Callable:
             before(row["path"])
         _confined(system, base, path, seen)
         waiting = row["kind"] == "delete" or _there(system, new) == _fs.FileType.File
-        if row["existed"] and _there(system, old) == _fs.FileType.NotFound:
+        if row["existed"] and (_there(system, old) == _fs.FileType.NotFound or _same(system, path, old)):
             _made(system, old.rpartition("/")[0], seen)
-            system.move(path, old)
-        elif not row["existed"] and waiting and _there(system, path) != _fs.FileType.NotFound:
+            _move(system, path, old)
+        elif not row["existed"] and waiting and _there(system, path) != _fs.FileType.NotFound and not _same(system, new, path):
             raise TransactionError(f"{row['path']} appeared meanwhile")
         if row["kind"] == "write" and waiting:
             _made(system, path.rpartition("/")[0], seen)
-            system.move(new, path)
+            _move(system, new, path)
 
     return act
 
 
 def _undo(system: _fs.FileSystem, base: str, folder: str, row: dict, seen: set[tuple[str, str]] | None = None) -> None:
     path, old = f"{base}/{row['path']}", _backup(folder, row["path"])
-    installed = row["kind"] == "write" and _there(system, f"{folder}/new/{row['staged']}") == _fs.FileType.NotFound
+    new = f"{folder}/new/{row['staged']}"
+    installed = row["kind"] == "write" and (_there(system, new) == _fs.FileType.NotFound or _same(system, new, path))
     if installed and _there(system, path) == _fs.FileType.File and (not row["existed"] or _there(system, old) == _fs.FileType.File):
         system.delete_file(path)
     if row["existed"] and _there(system, old) == _fs.FileType.File:
-        system.move(old, path)
+        _move(system, old, path)
 
 
 def _drop(system: _fs.FileSystem, base: str, folder: str, row: dict, seen: set[tuple[str, str]] | None = None) -> None:

@@ -8,9 +8,10 @@ import os
 import random
 
 import pytest
+from pyarrow import fs
 
-from sitegrain.operators import publishing
-from sitegrain.sources import transactions
+from sitegrain.operators import ownership, publishing
+from sitegrain.sources import sinks, transactions
 
 CLAIM = "site string, claim_id int, owner_name string, served_key string, dest string, grp string, replace boolean, body string"
 
@@ -130,6 +131,69 @@ def test_a_task_that_runs_again_changes_nothing(spark, root):
         assert tree(root) == {"a": b"old"}
 
 
+def test_moves_on_a_local_disk_are_no_renames_and_go_on_half_way(root):
+    class Local(fs.LocalFileSystem):
+        """Renames between folders wait for one another."""
+
+        def move(self, src, dest):
+            raise AssertionError(f"renamed {src}")
+
+    system, folder = Local(), f"{root}/.transaction-t"
+    for d in ("new", "old"):
+        os.makedirs(f"{folder}/{d}")
+    # Each as it is, and with a move that a task began and did not end: both names are there.
+    for half in ("", "new", "old"):
+        for kind, existed in (("write", True), ("write", False), ("delete", True)):
+            name = f"{kind}-{existed}-{half}"
+            row = {"kind": kind, "path": name, "staged": f"{name}-staged", "existed": existed}
+            path, new, old = f"{root}/{name}", f"{folder}/new/{name}-staged", transactions._backup(folder, name)
+            if existed:
+                open(path, "w").write("old")
+            if kind == "write":
+                open(new, "w").write("new")
+            if half and existed:
+                os.makedirs(os.path.dirname(old), exist_ok=True)
+                os.link(path, old)
+            if half == "new" and kind == "write":
+                if existed:
+                    os.unlink(path)
+                os.link(new, path)
+            before = {k: v for k, v in tree(root).items() if k == name}
+            for _ in range(2):
+                transactions._apply(None)(system, root, folder, row)
+                assert {k: v for k, v in tree(root).items() if k == name} == ({name: b"new"} if kind == "write" else {}), (name, before)
+                assert not os.path.exists(new)
+            for _ in range(2):
+                transactions._undo(system, root, folder, row)
+                assert {k: v for k, v in tree(root).items() if k == name} == ({name: b"old"} if existed else {}), (name, before)
+    # Taken back half-way.
+    open(f"{folder}/new/s", "w").write("new")
+    os.link(f"{folder}/new/s", f"{root}/late")
+    transactions._undo(system, root, folder, {"kind": "write", "path": "late", "staged": "s", "existed": False})
+    assert "late" not in tree(root)
+
+
+def test_nested_destinations_as_by_comparing_all(spark):
+    """Odd paths too: empty, not from the root, with empty parts."""
+    rng = random.Random(5)
+    dests = ["/", "", "a", "a/b", "/a//b", "/a/b/", "/a/", "//", "/a/b", "/x", "/x/y/z", "/lone", None]
+    dests += ["/" + "/".join(rng.choice("pqr") for _ in range(rng.randint(1, 5))) + rng.choice(["", "", ".md"]) for _ in range(60)]
+    table = claims(spark, [{"dest": d} for d in dests])
+
+    def up(dest):
+        parts = [p for p in dest.split("/") if p]
+        return {"/", *("/" + "/".join(parts[: k + 1]) for k in range(len(parts)))} - {dest}
+
+    known = {d for d in dests if d is not None}
+    outer = {o for d in known for o in up(d) if o in known}
+    nested = outer | {d for d in known if up(d) & known}
+    twice = {d for d in known if dests.count(d) > 1}
+    assert {r.dest for r in ownership.conflicts(table).where("conflict").collect()} == nested | twice
+    found = sinks.check_destinations(table.where("dest IS NOT NULL")).collect()
+    assert {r.dest for r in found if r.problem == "nested"} == outer and {r.dest for r in found if r.problem == "duplicate"} == twice
+    assert len(found) == len(outer) + len(twice)
+
+
 def test_files_are_dealt_out_to_tasks(spark, root, tmp_path):
     """Operations that arrive in one small partition are carried out by several tasks."""
     from pyspark import TaskContext
